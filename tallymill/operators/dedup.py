@@ -83,7 +83,7 @@ def surplus(
     One pass counts deliveries per record with partial aggregation; only records delivered more than
     once are joined back, hot ones salted.
     """
-    keyed, names = _keyed(df.select(*fields, seq).dropDuplicates([*fields, seq]), fields, times)
+    keyed, names = _keyed(df.select(*fields, seq), fields, times)
     rows = keyed.where(_known(names) & F.col(seq).isNotNull()).select(*names, F.col(seq).alias("dup_seq"))
     records = rows.groupBy(*names).agg(F.min("dup_seq").alias("kept_seq"), F.count("*").alias("deliveries"))
     joined = spread_join(rows, records.where("deliveries > 1"), names, "deliveries", F.col("dup_seq"))
