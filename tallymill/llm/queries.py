@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymill.llm import consensus, runs
+from tallymill.llm import consensus, leaks, runs
 from tallymill.session import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "p4_found": lambda spark, d: consensus.contested(table(spark, d, "human_labels")),
     "p4_annotators": lambda spark, d: consensus.consensus(table(spark, d, "human_labels"))[1],
     "p4_alpha": lambda spark, d: consensus.alpha(consensus.standing_votes(table(spark, d, "human_labels"))),
+    "p7_found": lambda spark, d: leaks.leaked(table(spark, d, "documents"), table(spark, d, "calibration_items")),
 }
 
 _VOTES = r"""
