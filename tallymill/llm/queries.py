@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymill.llm import consensus, leaks, pairs, runs
+from tallymill.llm import consensus, leaks, pairs, reading, runs
 from tallymill.session import table
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "p4_alpha": lambda spark, d: consensus.alpha(consensus.standing_votes(table(spark, d, "human_labels"))),
     "p7_found": lambda spark, d: leaks.leaked(table(spark, d, "documents"), table(spark, d, "calibration_items")),
     "p5_found": lambda spark, d: pairs.defects(table(spark, d, "screening_pairs")),
+    "p8_found": lambda spark, d: reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_grades")),
 }
 
 _VOTES = r"""
