@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymill.llm import consensus, leaks, pairs, reading, runs
+from tallymill.llm import consensus, leaks, packing, pairs, reading, runs
 from tallymill.session import table
 
 QUERIES = {
@@ -14,6 +14,8 @@ QUERIES = {
     "p7_found": lambda spark, d: leaks.leaked(table(spark, d, "documents"), table(spark, d, "calibration_items")),
     "p5_found": lambda spark, d: pairs.defects(table(spark, d, "screening_pairs")),
     "p8_found": lambda spark, d: reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_grades")),
+    "p6_pack": lambda spark, d: packing.pack(packing.token_sizes(table(spark, d, "documents"))),
+    "p6_fill": lambda spark, d: packing.fill_report(packing.pack(packing.token_sizes(table(spark, d, "documents")))),
 }
 
 _VOTES = r"""
