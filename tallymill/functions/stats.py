@@ -69,8 +69,11 @@ def graduates(s: Column, n: Column, low: float = 0.10, high: float = 0.90) -> Co
 def newcombe(s1: Column, n1: Column, s2: Column, n2: Column, conf: float = 0.95) -> tuple[Column, Column, Column]:
     """(lower, upper, difference) of two proportions by Newcombe's hybrid score method."""
     p1, p2 = _rate(s1, n1)[0], _rate(s2, n2)[0]
-    l1, u1 = _wilson_ends(*_rate(s1, n1), z_of(conf))
-    l2, u2 = _wilson_ends(*_rate(s2, n2), z_of(conf))
+    return newcombe_of(p1, *_wilson_ends(*_rate(s1, n1), z_of(conf)), p2, *_wilson_ends(*_rate(s2, n2), z_of(conf)))
+
+
+def newcombe_of(p1: Column, l1: Column, u1: Column, p2: Column, l2: Column, u2: Column) -> tuple[Column, Column, Column]:
+    """newcombe from two rates and their Wilson intervals, where those are columns already."""
     d = p1 - p2
     lower = d - F.sqrt((p1 - l1) * (p1 - l1) + (u2 - p2) * (u2 - p2))
     upper = d + F.sqrt((u1 - p1) * (u1 - p1) + (p2 - l2) * (p2 - l2))

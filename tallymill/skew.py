@@ -95,3 +95,16 @@ def blocked_lag(df: DataFrame, part: str, order: str, values: list[str], block:
     rest = inside.where(F.col(f"prev_{order}").isNotNull())
     joined = first.join(before, [part, "sup", "blk"], "left").withColumns({f"prev_{c}": F.col(f"edge_{c}") for c in cols})
     return rest.unionByName(joined.drop(*[f"edge_{c}" for c in cols])).drop("blk", "sup")
+
+
+def blocked_number(df: DataFrame, part: str, order: str, name: str = "place", block: int = 4096) -> DataFrame:
+    """df with name: 0, 1, 2 ... along order within part. (part, order) must be unique, order a whole number.
+
+    Rows are numbered in blocks of order values; running sums of the blocks' counts give what a block starts at.
+    """
+    blocks = df.withColumn("blk", F.floor(F.col(order) / block))
+    sizes = blocks.groupBy(part, "blk").agg(F.count("*").alias("in_blk"))
+    before = F.coalesce(F.sum("in_blk").over(Window.partitionBy(part).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(part, "blk", before.alias("blk_start"))
+    inside = F.row_number().over(Window.partitionBy(part, "blk").orderBy(order)) - 1
+    return blocks.withColumn(name, inside).join(starts, [part, "blk"]).withColumn(name, F.col(name) + F.col("blk_start")).drop("blk", "blk_start")
