@@ -17,7 +17,7 @@ GENESIS = "0" * 64
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(seq, prev_hash, payload, hash) of a log of JSON lines {seq?, prev_hash, payload, hash}. A log that spans files or
     is split for reading keeps its order only by a seq member; a single file without one is numbered in line order."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where("trim(value) <> ''")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where("trim(value) <> ''")
     member = lambda name: F.get_json_object("value", f"$.{name}")
     bad = F.json_object_keys("value").isNull() | (F.size(F.array_except(F.array(F.lit("prev_hash"), F.lit("hash"), F.lit("payload")), F.json_object_keys("value"))) > 0)
     bad = bad | (F.size(F.array_except(F.json_object_keys("value"), F.array(*[F.lit(x) for x in ("prev_hash", "hash", "payload", "seq")]))) > 0)

@@ -45,7 +45,7 @@ def read_puzzles(spark: SparkSession, root: str) -> DataFrame:
     meta = spark.read.schema(PUZZLE).option("multiLine", True).option("mode", "FAILFAST").json(f"{root}/*/meta.json").select(
         "*", _folder(F.col("_metadata.file_path")).alias("folder"), size.alias("bytes")
     )
-    prompt = spark.read.option("wholetext", True).text([f"{root}/*/prompt*"]).select(
+    prompt = spark.read.text([f"{root}/*/prompt*"], wholetext=True).select(
         fails(size > PROMPT_BYTES, "PROMPT_TOO_LARGE", F.col("value")).alias("prompt"), _folder(F.col("_metadata.file_path")).alias("folder")
     )
     solve = F.col("rewards.solve")
@@ -56,7 +56,7 @@ def read_puzzles(spark: SparkSession, root: str) -> DataFrame:
 
 def read_items(spark: SparkSession, *paths: str) -> DataFrame:
     """Item banks: each file one object or an array of them; unknown members, missing ids and unknown categories are errors."""
-    raw = spark.read.option("wholetext", True).text(list(paths)).select(
+    raw = spark.read.text(list(paths), wholetext=True).select(
         fails(F.col("_metadata.file_size") > ITEM_BYTES, "BANK_TOO_LARGE", F.trim("value")).alias("value")
     )
     whole = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
@@ -71,7 +71,7 @@ def read_items(spark: SparkSession, *paths: str) -> DataFrame:
 
 def read_human_labels(spark: SparkSession, *paths: str) -> DataFrame:
     """(item_id, annotator, tier, verdict): label files, nested by item and annotator, as rows."""
-    raw = spark.read.option("wholetext", True).text(list(paths))
+    raw = spark.read.text(list(paths), wholetext=True)
     body = F.from_json("value", "annotators MAP<STRING, STRUCT<tier: STRING>>, labels MAP<STRING, MAP<STRING, STRING>>", {"mode": "FAILFAST"})
     items = raw.select(body.alias("b")).select("b.annotators", F.explode("b.labels").alias("item_id", "votes"))
     rows = items.select("annotators", "item_id", F.explode("votes").alias("annotator", "verdict"))
