@@ -12,7 +12,8 @@ Before embedding, an exact count rules out windows that can't be within the allo
 leave all but 2e of a window's token pairs in place, so most of them must occur in some item.
 
 Defined results: a passage is a leak when it has at least MIN_WORDS consecutive words of the prompt (words as white
-space parts them), in order, of which at most one in ten is another word; null or empty texts, items with fewer words, and null
+space parts them), in order, of which at most one in ten, and neither
+the first nor the last, is another word; null or empty texts, items with fewer words, and null
 ids give no rows; repeated rows give the same pair once.
 """
 
@@ -170,8 +171,9 @@ class Index:
         inside = (word_of[a:b] >= first) & (word_of[a:b] <= last)
         bad = np.bincount(word_of[a:b][inside] - first, wrong[inside], n) > 0
         gain = np.concatenate([[0], np.cumsum(1 - ONE_IN * bad)])
-        least = np.minimum.accumulate(gain)
-        return bool((gain[MIN_WORDS:] >= least[: n + 1 - MIN_WORDS]).any())
+        # a passage begins and ends with words of the item
+        least = np.minimum.accumulate(np.where(bad, n + 1, gain[:-1]))
+        return bool((~bad[MIN_WORDS - 1 :] & (gain[MIN_WORDS:] >= least[: n + 1 - MIN_WORDS])).any())
 
     def leaks(self, doc_ids, texts) -> list[tuple]:
         """(doc_id, item_id) of the texts, handled as one stream of tokens."""

@@ -164,7 +164,7 @@ class Bins:
             y = max(open_, key=lambda b: (self.free[b], -b))
             others = sorted((b for b in used if self.free[b]), key=lambda b: (self.free[b], b))
             while self.bins[y] and self._step(y, others):
-                pass
+                stuck.clear()  # what was stuck before may move now
             if self.bins[y]:
                 stuck.add(y)
 
