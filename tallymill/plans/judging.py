@@ -148,6 +148,7 @@ QUERIES = {
 }
 
 _M = _MEASURED + " SELECT "
+_WEIGHT = f"CASE {_seat()} WHEN 'reject' THEN 0.0 WHEN 'screen' THEN greatest(0.001, least(1.0, 0.5 * {_quality('weighted_accuracy')})) ELSE greatest(0.001, least(1.0, {_quality('weighted_accuracy')})) END"
 SQL = {
     "d85_accuracy": f"WITH {J}, {_KAPPA}, {_ACC} SELECT model_id, n, {R('accuracy')} AS accuracy, {R('weighted_accuracy')} AS weighted_accuracy, {R('r')} AS r, {R('kappa')} AS kappa FROM a JOIN kappa USING (model_id)",
     "d94_item_stability": f"WITH {J}, {_ITEMS} SELECT model_id, n_items, {R('n_eff')} AS n_eff, {R('consistency')} AS consistency, repeated FROM st",
@@ -170,5 +171,11 @@ SQL = {
         FROM l a JOIN l b ON a.item_id = b.item_id AND a.model_id <> b.model_id GROUP BY 1, 2),
       t AS (SELECT *, sum(m) OVER (PARTITION BY held) AS total, count(*) OVER (PARTITION BY held) AS k FROM p)
       SELECT judge AS model_id, {R('avg(CAST(m >= (total - m) / (k - 1) - 1e-12 AS INT)::DOUBLE)')} AS omega, count(*) AS folds FROM t WHERE k >= 2 GROUP BY 1""",
+    "d117_weighted_vote": f"""{_MEASURED}, wt AS (SELECT model_id, {_WEIGHT} AS weight FROM m),
+      vt AS (SELECT model_id, item_id, arg_max(predicted, seq) AS v, max(seq) AS seq FROM j GROUP BY 1, 2),
+      pv AS (SELECT item_id, v, sum(weight) AS w, min(seq) AS f, count(*) AS votes FROM vt JOIN wt USING (model_id) WHERE v IS NOT NULL GROUP BY 1, 2),
+      rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(w, 12) DESC, f) AS k FROM pv),
+      tot AS (SELECT item_id, max(v) FILTER (WHERE k = 1) AS verdict, sum(votes)::BIGINT AS votes, CASE WHEN sum(w) = 0 THEN NULL ELSE (2 * max(w) - sum(w)) / sum(w) END AS margin FROM rk GROUP BY 1)
+      SELECT item_id, verdict, votes, {R('margin')} AS margin, coalesce(margin, 0.0) <= 0.5 AS escalate FROM tot""",
     "d92_alt_test_folds": f"WITH {_FOLDS} SELECT judge, held, count(*) AS n, {R('avg(d)')} AS mean, {R('stddev_samp(d)')} AS sd FROM d GROUP BY 1, 2 HAVING count(*) >= 2",
 }

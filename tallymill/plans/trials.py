@@ -89,7 +89,20 @@ _DIFF = f"""{_AGG}, x AS (SELECT *, own_n = 0 OR cohort_n = 0 AS empty,
       CASE WHEN own_n = 0 OR cohort_n = 0 THEN 1.0 ELSE least(1.0, {_D} + sqrt(({_U1} - {_P1}) * ({_U1} - {_P1}) + ({_P2} - {_L2}) * ({_P2} - {_L2}))) END AS upper FROM g),
   diff AS (SELECT *, CASE WHEN NOT empty AND (lower > 0 OR upper < 0) AND abs(delta) >= 0.3 THEN CASE WHEN upper < 0 THEN 'gap' ELSE 'strength' END
       WHEN NOT empty AND NOT (lower > 0 OR upper < 0) AND {_U1} <= 0.2 AND {_U2} <= 0.2 THEN 'general' ELSE 'inconclusive' END AS typology FROM x)"""
-_LF = lambda n: f"(SELECT lf FROM f WHERE f.k = {n})"
+
+
+def _log_table(k: str) -> str:
+    choose = lambda n, r: f"(lgamma({n} + 1.0) - lgamma(({r}) + 1.0) - lgamma(({n}) - ({r}) + 1.0))"
+    return f"{choose('own_n', k)} + {choose('cohort_n', f'own_s + cohort_s - {k}')} - {choose('(own_n + cohort_n)', 'own_s + cohort_s')}"
+
+
+_FDR = f"""{_DIFF}, tables AS (SELECT *, unnest(range(greatest(0, own_s + cohort_s - cohort_n), least(own_n, own_s + cohort_s) + 1)) AS k FROM diff),
+  logs AS (SELECT puzzle_id, {_log_table('k')} AS l, {_log_table('own_s')} AS given FROM tables),
+  fisher AS (SELECT puzzle_id, least(1.0, sum(exp(l)) FILTER (WHERE l <= given + 1e-7)) AS p FROM logs GROUP BY 1),
+  found AS (SELECT puzzle_id, p, row_number() OVER (ORDER BY p, puzzle_id) AS k, count(*) OVER () AS m FROM diff JOIN fisher USING (puzzle_id) WHERE typology IN ('gap', 'strength')),
+  kept AS (SELECT puzzle_id, k <= coalesce(max(CASE WHEN p <= k * 0.1 / m THEN k END) OVER (), 0) AS survived FROM found),
+  classified AS (SELECT diff.*, p, coalesce(survived, true) AS survived, CASE WHEN coalesce(survived, true) THEN typology ELSE 'inconclusive' END AS final
+    FROM diff LEFT JOIN fisher USING (puzzle_id) LEFT JOIN kept USING (puzzle_id))"""
 
 
 def _budgets(spark, d):
@@ -183,5 +196,6 @@ SQL = {
         sum((n - successes) * ln(0.5 / 0.25) + successes * ln(0.5 / 0.75)) AS w FROM r GROUP BY 1, 2)
       SELECT puzzle_id, model_id, runs, n, round(u, 6) + 0.0 AS log_up, round(w, 6) + 0.0 AS log_down, exp(least(u, 700)) >= 20 AS saturated, exp(least(w, 700)) >= 20 AS fallen FROM e""",
     "b46_differences": f"WITH {_DIFF} SELECT puzzle_id, {R('delta')} AS delta, {R('lower')} AS lower, {R('upper')} AS upper, {R('(upper - lower) / 2')} AS resolvable, typology FROM diff",
+    "e122_classified": f"WITH {_FDR} SELECT puzzle_id, round(p, 8) + 0.0 AS p, final AS typology, survived FROM classified",
     "h172_run_ids": "SELECT seq, substr(sha256(puzzle_content_hash || chr(0) || model_id || chr(0) || started_at || chr(0) || nonce), 1, 16) AS run_id FROM catalog_runs",
 }
