@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions import exact, stats
+from tallymill.session import cut
 
 ECE_BINS = 10
 #: Mean errors of two judges correlate too much from here on.
@@ -111,7 +112,14 @@ def other_bias(rows: DataFrame, key: str = "model_id") -> DataFrame:
 
 
 def measure(rows: DataFrame, human_kappa: float = 0.8) -> DataFrame:
-    """All metrics of each judge, joined on the judge: what seat decisions read."""
+    """All metrics of each judge, joined on the judge: what seat decisions read.
+
+    The records, free of copies, are written once: each metric needs other columns, so Spark could not reuse the shuffle
+    that finds the copies, and would repeat it for every metric.
+    """
+    rows = cut(rows.select(
+        "seq", "model_id", "item_id", "predicted", "gold", "is_correct", "confidence", "difficulty", "position", "answer_len", "judge_family", "judged_family"
+    ))
     out = accuracy(rows).join(item_stability(rows), "model_id").join(calibration_error(rows), "model_id", "left")
     out = out.join(position_bias(rows), "model_id", "left").join(other_bias(rows), "model_id")
     lower, upper = stats.accuracy_wilson(F.col("weighted_accuracy"), F.col("n_eff"))
