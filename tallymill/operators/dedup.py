@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymill.session import cut
 from tallymill.skew import fresh, spread_join
 
 IDENTITY = ("puzzle_content_hash", "model_id", "started_at", "nonce")
@@ -81,12 +82,12 @@ def surplus(
     """(kept_seq, dup_seq): each surplus delivery beside the record's first one.
 
     One pass counts deliveries per record with partial aggregation; only records delivered more than
-    once are joined back, hot ones salted.
+    once are written out and joined back, hot ones salted.
     """
     keyed, names = _keyed(df.select(*fields, seq), fields, times)
     rows = keyed.where(_known(names) & F.col(seq).isNotNull()).select(*names, F.col(seq).alias("dup_seq"))
     records = rows.groupBy(*names).agg(F.min("dup_seq").alias("kept_seq"), F.count("*").alias("deliveries"))
-    joined = spread_join(rows, records.where("deliveries > 1"), names, "deliveries", F.col("dup_seq"))
+    joined = spread_join(rows, cut(records.where("deliveries > 1")), names, "deliveries", F.col("dup_seq"))
     return joined.where("dup_seq <> kept_seq").select("kept_seq", "dup_seq").distinct()
 
 
