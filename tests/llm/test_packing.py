@@ -58,3 +58,10 @@ def test_tokens_of_texts(spark):
     assert packing.pack(packing.token_sizes(df.limit(0))).count() == 0
     report = packing.fill_report(packing.pack(packing.token_sizes(df))).first()
     assert report.bins == 1 and report.tokens == sum(got.values())
+
+
+def test_long_runs_of_blanks():
+    text = "Hello" + " " * 1_000_000 + "world"
+    pieces = packing.count_tokens(text)
+    shorter = packing.count_tokens("Hello" + " " * 1000 + "world")
+    assert pieces > shorter > 3
