@@ -115,7 +115,7 @@ SQL = {
       k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, f) AS r FROM c) SELECT item_id, predicted, n FROM k WHERE r = 1""",
     "d115_median": f"WITH {J} SELECT item_id, {R('quantile_cont(confidence, 0.5)')} AS median FROM j WHERE confidence IS NOT NULL GROUP BY 1",
     "d115_weighted_mean": f"WITH {J} SELECT item_id, {R('sum(confidence * coalesce(difficulty, 1.0)) / sum(coalesce(difficulty, 1.0))')} AS mean FROM j WHERE confidence IS NOT NULL GROUP BY 1",
-    "d116_strict_majority": f"WITH {J} SELECT item_id, count_if(correct) * 2 > count(correct) AS novel FROM j GROUP BY 1",
+    "d116_strict_majority": f"WITH {J} SELECT item_id, coalesce(count_if(correct) * 2 > count(correct), false) AS novel FROM j GROUP BY 1",
     "d118_histogram": f"WITH {J} SELECT item_id, predicted, count(*) AS n FROM j GROUP BY 1, 2",
     "b57_veto": f"WITH {J} SELECT item_id, coalesce(bool_or(predicted = 0 AND coalesce(confidence >= 0.99, true)), false) AS vetoed FROM j GROUP BY 1",
     "h161_models": r"""SELECT DISTINCT model, regexp_replace(replace(trim(coalesce(model, '')), ':latest', ''), '(-cloud|:cloud)$', '') AS local,
