@@ -21,8 +21,10 @@ _CODE = re.compile(
 _MARKED = re.compile(r"[=<>{}\[\]|_;/\\@$%^&~`]|\w\.\w|\w\(|::")
 _TABLE = re.compile(r"^\s*\|.*\|?\s*$|^[^|]*\|[^|]*\|")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_ENGLISH = frozenset(w for w in FUNCTION_WORDS["en"].split())
-_FOREIGN = frozenset(w for k, v in FUNCTION_WORDS.items() if k != "en" for w in v.split()) - _ENGLISH
+_OTHERS = frozenset(w for k, v in FUNCTION_WORDS.items() if k != "en" for w in v.split())
+#: Words of English only, and of other languages only: what both have, like "a" or "no", tells nothing.
+_ENGLISH = frozenset(FUNCTION_WORDS["en"].split()) - _OTHERS
+_FOREIGN = _OTHERS - frozenset(FUNCTION_WORDS["en"].split())
 _OTHER_SCRIPT = re.compile(r"[぀-ヿ一-鿿ऀ-ॿ가-힯؀-ۿ֐-׿Ѐ-ӿ]")
 
 
@@ -37,19 +39,19 @@ def _is_data(line: str) -> bool:
     return odd * 3 >= len(tokens)
 
 
-def paragraphs(text: str) -> list[str]:
-    """The pieces of running text, each line-wrapped paragraph or bullet joined again."""
+def paragraphs(text: str) -> list[tuple[bool, str]]:
+    """(whether it is a bullet, text) of the pieces of running text, each line-wrapped paragraph or bullet joined again."""
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
-    out: list[str] = []
+    out: list[tuple[bool, str]] = []
     current: list[str] = []
-    fenced = False
+    fenced = listed = False
 
     def close():
         if current:
-            out.append(" ".join(current))
+            out.append((listed, " ".join(current)))
             current.clear()
 
     for line in text.splitlines():
@@ -70,6 +72,8 @@ def paragraphs(text: str) -> list[str]:
             continue
         if bullet:
             close()
+        if not current:
+            listed = bool(bullet)
         current.append(body)
     close()
     return out
@@ -78,18 +82,19 @@ def paragraphs(text: str) -> list[str]:
 def english_words(text: str) -> list[str]:
     """The words (numbers count) of the text's running English prose, in lower case."""
     words: list[str] = []
-    for paragraph in paragraphs(text):
+    for listed, paragraph in paragraphs(text):
         if "**" in paragraph:
             paragraph = _BOLD.sub(" ", paragraph)
         paragraph = _LABEL.sub("", paragraph)
         found = [t.strip(".,;:!?()\"'“”’‘*_`[]<>…").lower() for t in paragraph.split()]
         found = [t for t in found if t]
-        if not found or (len(found) <= 6 and paragraph.rstrip(" \"'”’)*_")[-1:] not in ".!?…;,:"):
+        # headings are short and end like no sentence; bullets may be short
+        if not found or _HEADING.match(paragraph) or (not listed and len(found) <= 6 and paragraph.rstrip(" \"'”’)*_")[-1:] not in ".!?…;,:"):
             continue
         if _OTHER_SCRIPT.search(paragraph):
             continue
         english, foreign = sum(t in _ENGLISH for t in found), sum(t in _FOREIGN for t in found)
-        if foreign > english or (not paragraph.isascii() and english * 12 < len(found) and foreign):
+        if foreign > english:
             continue
         words.extend(found)
     return words
