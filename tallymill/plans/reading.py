@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import exact, ids, text
 from tallymill.operators import items, judges, labels, votes
-from tallymill.plans.judging import J, R, rounded
+from tallymill.plans.judging import _SCREEN, J, R, rounded
 from tallymill.plans.trials import attempts, log
 from tallymill.session import table
 
@@ -100,6 +100,10 @@ SQL = {
     "b58_key_status": f"""WITH {J}, v AS (SELECT item_id, count(*) AS votes, min(predicted) AS lo, max(predicted) AS hi FROM j GROUP BY 1)
       SELECT id AS item_id, coalesce(votes, 0) AS votes, CASE WHEN coalesce(votes, 0) < 2 THEN 'not_verified' WHEN coalesce(lo, 0) <> coalesce(hi, 0) THEN 'ambiguous'
         WHEN CASE WHEN lo = 1 THEN 'A' ELSE 'B' END <> upper(trim(gold)) THEN 'mislabeled' ELSE 'defensible' END AS status FROM calibration_items LEFT JOIN v ON id = item_id""",
+    "d113_curated": f"""WITH {_SCREEN}, v AS (SELECT item_id, count(*) AS votes, min(coalesce(predicted, 0)) AS lo, max(coalesce(predicted, 0)) AS hi FROM j GROUP BY 1)
+      SELECT item_id, CASE WHEN label <> 'kept' THEN label WHEN coalesce(votes, 0) < 2 THEN 'kept_not_verified' WHEN lo <> hi THEN 'ambiguous'
+        WHEN CASE WHEN lo = 1 THEN 'A' ELSE 'B' END <> upper(trim(gold)) THEN 'mislabeled' ELSE 'kept' END AS outcome
+      FROM screened LEFT JOIN v USING (item_id) LEFT JOIN calibration_items ON id = item_id""",
     "e134_split": """WITH h AS (SELECT id, row_number() OVER (ORDER BY sha256('round one' || chr(0) || id), id) - 1 AS place, count(*) OVER () AS n FROM calibration_items)
       SELECT id, place, CASE WHEN place < n * 0.6 THEN 'calibration' WHEN place < n * 0.8 THEN 'dev' WHEN place < n * 0.9 THEN 'validation' ELSE 'private_test' END AS part FROM h""",
     "a5_usable_labels": f"WITH {_LAB} SELECT campaign_id, item_id, who, tier, pred FROM u",
