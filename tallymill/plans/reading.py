@@ -62,7 +62,7 @@ _LAB = r"""u0 AS (SELECT campaign_id, item_id, lower(regexp_replace(annotator, '
   ia AS (SELECT campaign_id, item_id, count(*) AS votes, greatest(sum(pred), count(*) - sum(pred))::DOUBLE / count(*) AS agreement, sum(pred)::DOUBLE AS a, (count(*) - sum(pred))::DOUBLE AS b FROM u GROUP BY 1, 2)"""
 _REP = f"""{_LAB}, w AS (SELECT campaign_id, who, min(CASE tier WHEN 'expert' THEN 0.2 WHEN 'skilled' THEN 0.15 WHEN 'crowd' THEN 0.1 END)::DOUBLE AS eps FROM u GROUP BY 1, 2),
   w2 AS (SELECT campaign_id, count(*) AS annotators, min(eps) AS eps FROM w GROUP BY 1),
-  i2 AS (SELECT campaign_id, count(*) AS items, count_if(agreement < 0.67) AS disputed FROM ia GROUP BY 1),
+  i2 AS (SELECT campaign_id, count(*) AS items, count(*) FILTER (WHERE agreement < 0.67) AS disputed FROM ia GROUP BY 1),
   al AS (SELECT campaign_id, CASE WHEN sum(a) * sum(b) = 0 THEN 1.0 ELSE 1 - (sum(a) + sum(b) - 1) * sum(2 * a * b / (a + b - 1)) / (2 * sum(a) * sum(b)) END AS alpha FROM ia WHERE a + b >= 2 GROUP BY 1)"""
 
 QUERIES = {

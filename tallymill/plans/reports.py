@@ -54,9 +54,9 @@ SQL = {
         WHERE category = 'known_trivial' AND NOT correct GROUP BY 1) SELECT model_id, coalesce(missed, '') AS missed FROM (SELECT DISTINCT model_id FROM j) LEFT JOIN w USING (model_id)""",
     "d103_correlation_report": f"WITH {J._RHO} SELECT a || '|' || b AS pair, round_even(rho, 4) + 0.0 AS rho FROM rho",
     "d105_perturbation_report": J._M + "count(*) AS judges, " + R("max((" + " + ".join(f"CAST({m} <> {J._seat()} AS INT)" for m in J._MOVES) + ") / 12.0)") + " AS max_flip_rate FROM m",
-    "a14_run_records": f"""WITH {T.A}, c AS (SELECT puzzle_id, model, framing_arm, count(*) AS n, count_if(solved) AS successes FROM a GROUP BY 1, 2, 3)
+    "a14_run_records": f"""WITH {T.A}, c AS (SELECT puzzle_id, model, framing_arm, count(*) AS n, count(*) FILTER (WHERE solved) AS successes FROM a GROUP BY 1, 2, 3)
       SELECT c.puzzle_id, model, framing_arm, n, successes, min_k, 3 AS k, {R('pow(successes::DOUBLE / n, 3)')} AS pass_hat_k, {R(_WL)} AS wilson_lower, {R(_WU)} AS wilson_upper FROM c LEFT JOIN puzzles USING (puzzle_id)""",
-    "a21_run_rollup": f"""WITH {T.A} SELECT puzzle_id, count(*) AS n_attempts, count_if(coalesce({T._flag("o['metadata']", 'gate_passed')}, false) AND coalesce(terminated_by, 'completed') = 'completed') AS n_solved,
+    "a21_run_rollup": f"""WITH {T.A} SELECT puzzle_id, count(*) AS n_attempts, count(*) FILTER (WHERE coalesce({T._flag("o['metadata']", 'gate_passed')}, false) AND coalesce(terminated_by, 'completed') = 'completed') AS n_solved,
         count(*) AS listed FROM a GROUP BY 1""",
     "f137_personal_best": f"""WITH {T.A}, v AS (SELECT puzzle_id, model, CASE WHEN trim(o['value']) IN ('true', 'false') THEN CAST(trim(o['value']) = 'true' AS INT)::DOUBLE
         WHEN regexp_matches(trim(o['value']), '^-?[0-9]') THEN TRY_CAST(trim(o['value']) AS DOUBLE) END AS x FROM a)
@@ -66,5 +66,5 @@ SQL = {
     "b33_penalty_lookup": """SELECT attempt_id, array_to_string(list_sort(list_filter(list_transform(penalties, lambda p: p['name']), lambda n: n IN ('repeat_calls', 'test_edit'))), '|') AS drawn,
         array_to_string(list_sort(list_filter(['repeat_calls', 'test_edit'], lambda n: NOT coalesce(list_contains(list_transform(penalties, lambda p: p['name']), n), false))), '|') AS unknown
       FROM attempts LEFT JOIN puzzles USING (puzzle_id)""",
-    "d72_candidates": f"""WITH {T.A}, h AS (SELECT puzzle_id, count(*) AS n, count_if(solved) AS n_solved FROM a GROUP BY 1) SELECT puzzle_id FROM h WHERE {T._WL} >= 0.1 AND {T._WU} <= 0.9""",
+    "d72_candidates": f"""WITH {T.A}, h AS (SELECT puzzle_id, count(*) AS n, count(*) FILTER (WHERE solved) AS n_solved FROM a GROUP BY 1) SELECT puzzle_id FROM h WHERE {T._WL} >= 0.1 AND {T._WU} <= 0.9""",
 }

@@ -49,7 +49,7 @@ C = f"""{T}, c AS (SELECT attempt_id, seq, coalesce(json_extract_string(payload,
   FROM t WHERE kind = 'tool')"""
 _RED = f"""{C}, w AS (SELECT *, coalesce(sig IN (lag(sig, 1) OVER q, lag(sig, 2) OVER q, lag(sig, 3) OVER q), false)
       OR (path IS NOT NULL AND row_number() OVER (PARTITION BY attempt_id, tool, path ORDER BY seq) > 2) AS again FROM c WINDOW q AS (PARTITION BY attempt_id ORDER BY seq)),
-  red AS (SELECT attempt_id, count(*) AS tool_calls, count_if(again) AS redundant, avg(CAST(again AS INT)::DOUBLE) AS tcrr FROM w GROUP BY 1)"""
+  red AS (SELECT attempt_id, count(*) AS tool_calls, count(*) FILTER (WHERE again) AS redundant, avg(CAST(again AS INT)::DOUBLE) AS tcrr FROM w GROUP BY 1)"""
 _OUT = f"""{A}, {_RED}, pz AS (SELECT *, list_transform(penalties, lambda p: p['name']) AS known FROM puzzles),
   oc AS (SELECT a.attempt_id, a.puzzle_id, ok AS solved, o['value'] AS v, rewards, penalties, known, point_threshold, tool_call_budget, time_budget_seconds,
       coalesce(CASE WHEN regexp_matches(trim(o['value']), '^-?[0-9]') THEN TRY_CAST(trim(o['value']) AS DOUBLE) END, CASE WHEN ok THEN rewards['solve'] ELSE 0.0 END) AS q,
@@ -160,16 +160,16 @@ QUERIES = {
 
 SQL = {
     "b28_solved": f"WITH {A} SELECT attempt_id, solved, novel FROM a",
-    "d70_puzzle_history": f"""WITH {A}, h AS (SELECT puzzle_id, count(*) AS n, count_if(solved) AS n_solved FROM a GROUP BY 1)
+    "d70_puzzle_history": f"""WITH {A}, h AS (SELECT puzzle_id, count(*) AS n, count(*) FILTER (WHERE solved) AS n_solved FROM a GROUP BY 1)
       SELECT puzzle_id, n, n_solved, {R('n_solved::DOUBLE / n')} AS solve_rate, {R('pow(n_solved::DOUBLE / n, 3)')} AS pass_hat_k, {R(_WL)} AS wilson_lower, {R(_WU)} AS wilson_upper,
         {_WL} >= 0.1 AND {_WU} <= 0.9 AS candidate FROM h""",
     "d73_model_profile": f"""WITH {A} SELECT model, count(*) AS n, round(avg(CAST(solved AS INT)::DOUBLE), 6) AS solve_rate, round(avg(CAST(novel AS INT)::DOUBLE), 6) AS novelty_rate,
         round(sum(coalesce(wall_time, 0.0)) / count(*), 6) AS mean_latency FROM a GROUP BY 1""",
-    "d74_roll_up": f"""WITH {A} SELECT puzzle_id, model, grouping(puzzle_id, model)::BIGINT AS grouping, count(*) AS n, count_if(solved) AS n_solved, count_if(novel) AS n_novel
+    "d74_roll_up": f"""WITH {A} SELECT puzzle_id, model, grouping(puzzle_id, model)::BIGINT AS grouping, count(*) AS n, count(*) FILTER (WHERE solved) AS n_solved, count(*) FILTER (WHERE novel) AS n_novel
         FROM a GROUP BY GROUPING SETS ((puzzle_id), (model), ())""",
     "d75_attempt_view": f"""WITH {A}, v AS (SELECT *, coalesce({_flag("o['metadata']", 'gate_passed')}, false) AS g FROM a)
       SELECT attempt_id, puzzle_id, framing_arm, g AS gate_passed, g AND coalesce(terminated_by, 'completed') = 'completed' AS solved, coalesce(terminated_by, 'completed') AS ended, '' AS penalties FROM v""",
-    "d76_bait_rates": "SELECT framing_arm, count(*) AS n, 0.0 AS bait_rate FROM attempts GROUP BY 1",
+    "d76_bait_rates": "SELECT framing_arm, count(*) AS n, CAST(0 AS DOUBLE) AS bait_rate FROM attempts GROUP BY 1",
     "d77_arm_divergence": f"""WITH {A}, v AS (SELECT puzzle_id, avg(CAST(solved AS INT)::DOUBLE) FILTER (WHERE framing_arm = 'self_referential') AS x,
         avg(CAST(solved AS INT)::DOUBLE) FILTER (WHERE framing_arm = 'neutral') AS y FROM a GROUP BY 1)
       SELECT puzzle_id, {R('x')} AS rate_a, {R('y')} AS rate_b, {R('abs(x - y)')} AS gap, abs(x - y) > 0 AS diverges FROM v WHERE x IS NOT NULL AND y IS NOT NULL""",
