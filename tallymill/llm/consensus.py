@@ -2,10 +2,14 @@
 
 Method: latent ability and difficulty (Whitehill et al., 2009). The probability that annotator i's
 vote on item j is right is sigmoid(a_i * b_j), with ability a_i (negative: worse than chance) and
-ease b_j > 0. Expectation-maximisation alternates the label posteriors with one Newton step of the
-gradient for abilities and eases under normal priors. Each round is two joins of the votes with the
-small parameter tables and two partial aggregations; votes of hot annotators and hot items are salted.
-Chance-corrected agreement is Krippendorff's alpha over (item, value) counts.
+ease b_j > 0. Expectation-maximisation alternates the label posteriors and eases, which follow from the abilities
+item by item, with one Newton step of the gradient for the abilities, under normal priors, until no ability moves by
+more than TOLERANCE. Chance-corrected agreement is Krippendorff's alpha over (item, value) counts.
+
+The votes are written once, an item's in one row. Up to PEOPLE annotators (counted) their abilities are broadcast, and a round is
+one scan of that table that sends a sum per annotator and partition; an item then has no more votes than there are
+annotators, so no row is unbounded. With more annotators, a round is two joins of the votes with the parameter tables, where
+hot annotators and items are salted.
 
 Defined results: an annotator's last label on an item stands (a null time counts as earliest; at equal times a
 vote stands before an abstention, then A/PASS before B/FAIL); what isn't A, B, PASS or FAIL after
@@ -16,6 +20,10 @@ group; a posterior of exactly one half gives the more frequent vote, then 1.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +31,13 @@ from tallymill.operators.dedup import folded
 from tallymill.session import cut
 from tallymill.skew import MAX_HOT, SALTS
 
-ROUNDS = 10
+#: The search ends when no ability moves by more than this; ROUNDS only guards against a search that doesn't end.
+TOLERANCE = 1e-3
+ROUNDS = 200
+#: Up to so many annotators, their abilities (8 bytes each) are broadcast.
+PEOPLE = 200_000
+#: Newton steps for an item's ease at most.
+EASE_STEPS = 40
 #: Mean and variance of the priors of ability and log ease.
 ABILITY = (1.0, 1.0)
 LOG_EASE = (0.0, 0.25)
@@ -61,17 +75,15 @@ def _spread(params: DataFrame, key: str) -> DataFrame:
     return params.withColumn(f"salt_{key}", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies", "n")
 
 
-def fit(votes: DataFrame, rounds: int = ROUNDS, hot_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """(items, annotators) of votes(item, who, pred): items have post, the probability of 1, and log_ease;
-    annotators have ability and n, their votes."""
-    votes = cut(votes.select("item", "who", F.when(F.col("pred") == 1, 1.0).otherwise(-1.0).alias("y")))
-    votes, people = _salted(votes, votes.groupBy("who").agg(F.count("*").alias("n")), "who", "item", hot_rows)
+def _fit_joined(votes: DataFrame, people: DataFrame, rounds: int, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The same for any number of annotators; an item's ease takes one step a round, and the search ends by the same test."""
+    votes, people = _salted(votes, people, "who", "item", hot_rows)
     votes, items = _salted(votes, votes.groupBy("item").agg(F.count("*").alias("n")), "item", "who", hot_rows)
     votes = cut(votes)
     people = cut(people.withColumn("ability", F.lit(ABILITY[0])))
     items = cut(items.withColumn("log_ease", F.lit(LOG_EASE[0])))
     known = cut(votes.join(_spread(people, "who"), ["who", "salt_who"]))
-    for round_no in range(rounds):
+    for _ in range(rounds):
         # E step and ease: the posterior needs the sums of signed abilities only, and the gradient is linear in it
         eased = known.join(_spread(items.select("item", "copies", "n", "log_ease"), "item"), ["item", "salt_item"])
         b = F.exp("log_ease")
@@ -88,13 +100,11 @@ def fit(votes: DataFrame, rounds: int = ROUNDS, hot_rows: int = 50_000) -> tuple
         step = gradient / (b**2 * F.col("info") + 1 / LOG_EASE[1])
         eases = items.select("item", "copies", "n", "log_ease").join(sums, "item")
         items = cut(eases.select(
-            "item", "copies", "n", post.alias("post"), F.col("s").alias("support"),
+            "item", "copies", "n", post.alias("post"),
             (F.col("log_ease") + F.greatest(F.lit(-0.5), F.least(F.lit(0.5), step))).alias("log_ease"),
         ))
-        if round_no == rounds - 1:
-            break
         # M step of the abilities
-        judged = known.join(_spread(items.drop("support"), "item"), ["item", "salt_item"])
+        judged = known.join(_spread(items, "item"), ["item", "salt_item"])
         right = _sigmoid(F.col("ability") * F.exp("log_ease"))
         agrees = F.when(F.col("y") > 0, F.col("post")).otherwise(1 - F.col("post"))
         sums = judged.groupBy("who").agg(
@@ -102,11 +112,94 @@ def fit(votes: DataFrame, rounds: int = ROUNDS, hot_rows: int = 50_000) -> tuple
             F.sum(F.exp(2 * F.col("log_ease")) * right * (1 - right)).alias("h"),
         )
         step = (F.col("g") - (F.col("ability") - ABILITY[0]) / ABILITY[1]) / (F.col("h") + 1 / ABILITY[1])
-        people = cut(people.join(sums, "who").select(
-            "who", "copies", "n", (F.col("ability") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step))).alias("ability")
-        ))
+        moved = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step)).alias("moved")
+        stepped = cut(people.join(sums, "who").select("who", "copies", "n", (F.col("ability") + moved).alias("ability"), moved))
+        people = stepped.drop("moved")
+        if stepped.agg(F.max(F.abs("moved"))).first()[0] < TOLERANCE:
+            break
         known = votes.join(_spread(people, "who"), ["who", "salt_who"])
-    return items.select("item", "post", "log_ease", "n", "support"), people.select("who", "ability", "n")
+    return items.select("item", "post", "log_ease", "n"), people.select("who", "ability", "n")
+
+
+def eased(ability: np.ndarray, y: np.ndarray, item: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior of 1, log ease) of n items, from the abilities, votes (1 or -1) and items of their votes."""
+    total = lambda w: np.bincount(item, w, n)
+    s, for_1, for_0 = total(y * ability), total(ability * (y > 0)), total(ability * (y < 0))
+    log_ease = np.full(n, LOG_EASE[0])
+    for _ in range(EASE_STEPS):
+        b = np.exp(log_ease)
+        post = 1 / (1 + np.exp(-b * s))
+        right = 1 / (1 + np.exp(-ability * b[item]))
+        slope = b * (post * for_1 + (1 - post) * for_0 - total(right * ability)) - (log_ease - LOG_EASE[0]) / LOG_EASE[1]
+        step = np.clip(slope / (b**2 * total(ability**2 * right * (1 - right)) + 1 / LOG_EASE[1]), -0.5, 0.5)
+        log_ease = log_ease + step
+        if not n or np.abs(step).max() < 1e-6:
+            break
+    return 1 / (1 + np.exp(-np.exp(log_ease) * s)), log_ease
+
+
+def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(annotator, vote, item) of each vote of some items."""
+    sizes = batch["votes"].str.len().to_numpy(dtype=np.int64)
+    # a vote is kept as its annotator's number, shifted, and the vote
+    votes = np.concatenate([np.asarray(v, dtype=np.int64) for v in batch["votes"]]) if len(batch) else np.zeros(0, dtype=np.int64)
+    return votes >> 1, np.where(votes & 1, 1.0, -1.0), np.repeat(np.arange(len(batch)), sizes)
+
+
+def _fit_broadcast(votes: DataFrame, people: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    spark = votes.sparkSession
+    known = people.orderBy("who").toPandas()
+    numbers = spark.createDataFrame(pd.DataFrame({"who": known["who"], "no": np.arange(len(known), dtype=np.int64)}), "who STRING, no BIGINT")
+    coded = votes.join(F.broadcast(numbers), "who").select("item", (F.col("no") * 2 + (F.col("y") > 0).cast("bigint")).alias("vote"))
+    table = cut(coded.groupBy("item").agg(F.collect_list("vote").alias("votes")))
+    ability = np.full(len(known), ABILITY[0])
+
+    def sums(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at = shared.value
+            g, h = np.zeros(len(at)), np.zeros(len(at))
+            for batch in batches:
+                who, y, item = _flat(batch)
+                post, log_ease = eased(at[who], y, item, len(batch))
+                b = np.exp(log_ease)[item]
+                right = 1 / (1 + np.exp(-at[who] * b))
+                g += np.bincount(who, (np.where(y > 0, post[item], 1 - post[item]) - right) * b, len(at))
+                h += np.bincount(who, b**2 * right * (1 - right), len(at))
+            some = np.nonzero(h)[0]
+            yield pd.DataFrame({"no": some, "g": g[some], "h": h[some]})
+
+        return table.select("votes").mapInPandas(run, "no BIGINT, g DOUBLE, h DOUBLE").groupBy("no").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(ability)
+        got = sums(shared).toPandas()
+        shared.unpersist()
+        g, h = np.zeros(len(ability)), np.zeros(len(ability))
+        g[got["no"]], h[got["no"]] = got["g"], got["h"]
+        step = np.clip((g - (ability - ABILITY[0]) / ABILITY[1]) / (h + 1 / ABILITY[1]), -1.0, 1.0)
+        ability = ability + step
+        if not len(step) or np.abs(step).max() < TOLERANCE:
+            break
+    last = spark.sparkContext.broadcast(ability)
+
+    def posteriors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            who, y, item = _flat(batch)
+            post, log_ease = eased(last.value[who], y, item, len(batch))
+            yield pd.DataFrame({"item": batch["item"], "post": post, "log_ease": log_ease, "n": np.bincount(item, minlength=len(batch))})
+
+    items = table.mapInPandas(posteriors, "item STRING, post DOUBLE, log_ease DOUBLE, n BIGINT")
+    return items, spark.createDataFrame(known.assign(ability=ability)[["who", "ability", "n"]], "who STRING, ability DOUBLE, n BIGINT")
+
+
+def fit(votes: DataFrame, rounds: int = ROUNDS, hot_rows: int = 50_000, people_bound: int = PEOPLE) -> tuple[DataFrame, DataFrame]:
+    """(items, annotators) of votes(item, who, pred), one per item and annotator: items have post, the probability of 1, log_ease and n,
+    their votes; annotators have ability and n."""
+    votes = votes.select("item", "who", F.when(F.col("pred") == 1, 1.0).otherwise(-1.0).alias("y"))
+    people = cut(votes.groupBy("who").agg(F.count("*").alias("n")))
+    if people.count() <= people_bound:
+        return _fit_broadcast(votes, people, rounds)
+    return _fit_joined(votes, people, rounds, hot_rows)
 
 
 def _item_key():
@@ -127,7 +220,7 @@ def consensus(labels: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataF
     )
     n = F.col("n_1") + F.col("n_0")
     pairs = F.col("n_1") * (F.col("n_1") - 1) + F.col("n_0") * (F.col("n_0") - 1)
-    per_item = counts.join(items.drop("n", "support"), "item").select(
+    per_item = counts.join(items.drop("n"), "item").select(
         "campaign_id", "item_id", pred.cast("int").alias("pred"), "post", F.exp("log_ease").alias("ease"), "n_1", "n_0",
         F.when(n > 1, pairs / (n * (n - 1))).alias("agreement"),
     )

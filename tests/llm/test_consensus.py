@@ -53,13 +53,22 @@ def test_contested_items_only(spark):
     assert got == {i for i, v in votes.items() if len(v) == 2}
 
 
-def test_hot_annotator_and_item_are_salted(spark):
+def test_many_annotators_go_by_joins_hot_keys_salted(spark):
     _, _, rows = planted(2, 60)
     votes = consensus.standing_votes(frame(spark, rows)).withColumnRenamed("item_id", "item")
-    plain, _ = consensus.fit(votes, 3)
-    salted, _ = consensus.fit(votes, 3, hot_rows=5)
-    a, b = ({r.item: r.post for r in x.collect()} for x in (plain, salted))
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+    ways = [consensus.fit(votes), consensus.fit(votes, people_bound=2), consensus.fit(votes, people_bound=2, hot_rows=5)]
+    a, b, c = ({r.item: r.post for r in x.collect()} for x, _ in ways)
+    assert a.keys() == b.keys() == c.keys() and all(b[k] == pytest.approx(c[k], abs=1e-9) for k in a)
+    assert all(a[k] == pytest.approx(b[k], abs=0.02) for k in a)
+    x, y, _ = ({r.who: (r.ability, r.n) for r in people.collect()} for _, people in ways)
+    assert all(x[k][0] == pytest.approx(y[k][0], abs=0.02) and x[k][1] == y[k][1] for k in x)
+
+
+def test_search_goes_on_until_nothing_moves(spark):
+    _, _, rows = planted(3, 120)
+    votes = consensus.standing_votes(frame(spark, rows)).withColumnRenamed("item_id", "item")
+    early, late = (dict(consensus.fit(votes, n)[1].select("who", "ability").collect()) for n in (consensus.ROUNDS, 2 * consensus.ROUNDS))
+    assert early == late and early != dict(consensus.fit(votes, 2)[1].select("who", "ability").collect())
 
 
 def test_empty_and_alpha(spark):
