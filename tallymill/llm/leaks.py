@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.textnorm import plain, words
+from tallymill.llm.textnorm import plain, runs_of_letters, words
 from tallymill.session import cut
 
 MIN_WORDS = 20
@@ -112,7 +112,7 @@ class Words:
 
     def __init__(self, text: str, hashed=None):
         hashed = hashed or token_hash
-        pieces = [p for p in (words(w) for w in plain(text).split()) if p]
+        pieces = [p for p in map(runs_of_letters, plain(text).split()) if p]
         self.tokens = [hashed(t) for p in pieces for t in p]
         #: for each token, where its word begins and ends; and how many words begin before a token
         self.begin, self.end, self.before = [], [], []
@@ -258,8 +258,10 @@ class Index:
             windows = np.stack([tokens[k][p : p + WINDOW] for k, p in starts])
             item = np.array([k for k, _ in starts], dtype=np.int32)
             for keys in window_keys(windows):
-                both = np.unique(np.rec.fromarrays([keys, item], names="key,item"))
-                self.tables.append((np.ascontiguousarray(both["key"]), np.ascontiguousarray(both["item"])))
+                order = np.argsort(keys, kind="stable")  # of equal keys, the items stay in order
+                key, of = keys[order], item[order]
+                new = np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])])
+                self.tables.append((key[new], of[new]))
 
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return (grams >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -275,10 +277,10 @@ class Index:
         at = at[self.seeds[near] == some]
         return at, grams[at]
 
-    def candidates(self, stream: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> set[tuple[int, int]]:
+    def candidates(self, stream: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]:
         """(document, item) that share a key; no window goes over one of bounds, where documents begin."""
         starts = window_starts(len(stream), bounds, places)
-        found: set[tuple[int, int]] = set()
+        n, found = len(self.ids), [np.empty(0, dtype=np.int64)]
         for lo in range(0, len(starts), 20_000):
             some = starts[lo : lo + 20_000]
             doc = np.searchsorted(bounds, some, "right") - 1
@@ -288,11 +290,13 @@ class Index:
                 if not len(hit):
                     continue
                 # equal keys of one document count once
-                pairs = np.unique(np.stack([doc[hit], first[hit]]), axis=1)
-                last = np.searchsorted(table, table[pairs[1]], "right")
-                for d, a, b in zip(pairs[0].tolist(), pairs[1].tolist(), last.tolist()):
-                    found.update((d, k) for k in item[a:b].tolist())
-        return found
+                pairs = np.unique(doc[hit] * len(table) + first[hit])
+                first = pairs % len(table)
+                size = np.searchsorted(table, table[first], "right") - first
+                spread = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                found.append(np.unique(np.repeat(pairs // len(table), size) * n + item[np.repeat(first, size) + spread]))
+        pairs = np.unique(np.concatenate(found))
+        return list(zip((pairs // max(1, n)).tolist(), (pairs % max(1, n)).tolist()))
 
     def leaks(self, doc_ids, texts) -> list[tuple]:
         """(doc_id, item_id) of the texts, handled as one stream of tokens."""
@@ -309,7 +313,7 @@ class Index:
         bounds_ = np.array(bounds)
         places, grams = self.seed_places(stream)
         found, of_doc, doc_words = set(), -1, None
-        for d, k in sorted(self.candidates(stream, bounds_, places)):
+        for d, k in self.candidates(stream, bounds_, places):
             if d != of_doc:
                 of_doc, doc_words = d, Words(texts[d], lambda t: get(t, 0))
                 a, b = np.searchsorted(places, [bounds[d], bounds[d] + len(parts[d])])

@@ -37,6 +37,10 @@ def plain(text: str) -> str:
     return text.lower()
 
 
+#: The maximal runs of letters and digits of a text that is plain already.
+runs_of_letters = _WORD.findall
+
+
 def words(text: str) -> list[str]:
     """The maximal runs of letters and digits of plain(text)."""
-    return _WORD.findall(plain(text))
+    return runs_of_letters(plain(text))
