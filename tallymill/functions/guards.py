@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from tallymill.skew import blocked_number
+
 SCHEMA_VERSION = 1
 
 
@@ -25,10 +27,37 @@ def versioned(old_label: Column, old_hash: Column, new_label: Column, new_hash:
     return F.when(same_label != same_hash, torn).otherwise(F.when(same_hash, "same").otherwise("changed"))
 
 
-def within_budget(queries: DataFrame, budget: int, order: str = "seq", owner: str | None = None) -> DataFrame:
-    """queries with place and allowed: the first `budget` of an owner's queries are."""
-    part = [owner] if owner else [F.lit(0)]
-    return queries.withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy(order))).withColumn("allowed", F.col("place") <= budget)
+def within_budget(queries: DataFrame, budget: int, owner: str, order: str = "seq") -> DataFrame:
+    """queries with place, 1, 2 ... along order, and allowed: the first `budget` of an owner's queries are.
+
+    (owner, order) must be unique and order a whole number: an owner's queries are numbered in blocks, however many there are.
+    """
+    numbered = blocked_number(queries, owner, order, "place")
+    return numbered.withColumn("place", F.col("place") + 1).withColumn("allowed", F.col("place") <= budget)
+
+
+def tier_map(document: Column) -> Column:
+    """JSON text of an object from tier to boolean as map<string, boolean>; an error for anything else. Null stays null."""
+    doc = F.try_parse_json(document)
+    is_object = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
+    kinds = F.map_values(F.from_json(document, "MAP<STRING, STRING>"))
+    sound = is_object & F.forall(kinds, lambda v: F.coalesce(v.isin("true", "false"), F.lit(False))) & ~F.array_contains(F.map_keys(F.from_json(document, "MAP<STRING, STRING>")), "")
+    # a text "true" is no boolean
+    sound = sound & ~document.rlike(r':\s*"')
+    good = F.from_json(document, "MAP<STRING, BOOLEAN>")
+    return F.when(document.isNull(), None).when(sound, good).otherwise(F.raise_error(F.lit("BAD_TIER_MAP")).cast("map<string,boolean>"))
+
+
+def is_number(document: Column) -> Column:
+    """Whether JSON text is a number; a boolean is none."""
+    kind = F.schema_of_variant(F.try_parse_json(document))
+    return F.coalesce(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False))
+
+
+def number(document: Column) -> Column:
+    """JSON text of a number as double; null for null, an error for anything else."""
+    value = F.try_variant_get(F.try_parse_json(document), "$", "double")
+    return F.when(document.isNull() | (document == "null"), None).when(is_number(document), value).otherwise(F.raise_error(F.lit("NOT_A_NUMBER")).cast("double"))
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -14,7 +14,8 @@ FAMILIES = {
     "llama": "meta", "x-ai": "xai", "xai": "xai", "grok": "xai", "cohere": "cohere", "nvidia": "nvidia", "nemotron": "nvidia",
     "microsoft": "microsoft", "phi": "microsoft",
 }
-_CONTROL = r"<\|[^|>]*\|>"
+#: How a control token begins and ends, and the tokens and the channel that say where an answer stands.
+OPEN, CLOSE, CHANNEL, MESSAGE, FINAL = "<|", "|>", "channel", "message", "final"
 
 
 def _found(text: Column) -> Column:
@@ -44,7 +45,7 @@ def local_model(name: Column) -> Column:
 def routed_model(name: Column, prefix: str = "openrouter:") -> Column:
     """A routed model's id without prefix, one variant and a date of eight digits."""
     low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
-    bare = F.when(low.startswith(prefix), F.substring(low, len(prefix) + 1, 10_000)).otherwise(low)
+    bare = F.when(low.startswith(prefix), F.right(low, F.length(low) - len(prefix))).otherwise(low)
     return F.regexp_replace(F.regexp_replace(bare, "(" + "|".join(VARIANTS) + ")$", ""), r"-\d{8}\b", "")
 
 
@@ -78,15 +79,26 @@ def is_alias(model: Column) -> Column:
     return ~model.rlike("[0-9]")
 
 
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def without_control(text: Column) -> Column:
     """Model text without leaked control tokens: the last final channel's message, else what follows the last message
-    mark, else all but the tokens; text without tokens stays as it is."""
-    finals = F.regexp_extract_all(text, F.lit(r"(?s)<\|channel\|>\s*final\s*<\|message\|>(.*?)(?=<\|[^|>]*\|>|\z)"), 1)
-    tail = F.element_at(F.split(text, r"<\|message\|>"), -1)
-    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.when(~text.rlike(_CONTROL), text).when(F.size(finals) > 0, trimmed(F.try_element_at(finals, F.lit(-1)))).otherwise(
-        trimmed(F.regexp_replace(tail, _CONTROL, ""))
-    )
+    mark, else all but the tokens; text without tokens stays as it is.
+
+    The text is parted at the tokens; a part is a token's name and what stands between it and the next one.
+    """
+    parts = F.split(text, r"<\|(?=[^|>]*\|>)")
+    named = F.transform(F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1)), lambda x: F.struct(
+        F.substring_index(x, CLOSE, 1).alias("token"), F.substring(x, F.locate(CLOSE, x) + len(CLOSE), F.length(x)).alias("said")))
+    before = lambda i: F.get(named, i - 1)
+    answers = F.filter(named, lambda x, i: (x["token"] == MESSAGE) & (before(i)["token"] == CHANNEL) & (_trimmed(before(i)["said"]) == FINAL))
+    # a message's rest is told by the number of messages before it
+    last = F.aggregate(named, F.array().cast("array<string>"), lambda kept, x: F.when(x["token"] == MESSAGE, F.array(x["said"])).otherwise(F.concat(kept, F.array(x["said"]))))
+    has_message = F.exists(named, lambda x: x["token"] == MESSAGE)
+    rest = F.when(has_message, F.array_join(last, "")).otherwise(F.concat(F.get(parts, F.lit(0)), F.array_join(last, "")))
+    return F.when(F.size(parts) <= 1, text).otherwise(_trimmed(F.coalesce(F.try_element_at(answers, F.lit(-1))["said"], rest)))
 
 
 def assistant_text(response: Column) -> Column:
@@ -151,3 +163,23 @@ def native_verb(name: Column) -> Column:
     """The verb that a native tool name stands for, null for unknown ones."""
     table = F.create_map(*[F.lit(x) for verb, names in VERBS.items() for n in names for x in (n, verb)])
     return F.try_element_at(table, F.lower(F.trim(name)))
+
+
+#: Names models give to the operands of the verbs, the first that isn't empty counts.
+OPERANDS = {
+    "read_file": {"path": ("path", "file", "filename")},
+    "exec": {"command": ("command", "cmd", "script")},
+    "write_file": {"path": ("path", "file", "filename"), "content": ("content", "text")},
+    "FINAL": {"answer": ("answer", "final", "text", "value")},
+}
+
+
+def native_action(name: Column, arguments: Column) -> Column:
+    """struct<verb, operand, content> of a native tool call whose arguments are JSON text; null for unknown names and for verbs without the
+    operand they need (a final answer may be empty)."""
+    first = lambda names: F.coalesce(*[_found(F.get_json_object(arguments, f"$.{n}")) for n in names])
+    verb = native_verb(name)
+    pick = lambda member: F.coalesce(*[F.when(verb == v, first(of[member])) for v, of in OPERANDS.items() if member in of])
+    operand = F.coalesce(pick("path"), pick("command"), F.when(verb == "FINAL", F.coalesce(pick("answer"), F.lit(""))))
+    content = F.when(verb == "write_file", F.coalesce(pick("content"), F.lit("")))
+    return F.when(operand.isNotNull(), F.struct(verb.alias("verb"), operand.alias("operand"), content.alias("content")))

@@ -9,21 +9,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions import exact, stats
-from tallymill.operators.judges import step_up
+from tallymill.operators import dedup
+from tallymill.operators.judges import step_up_by_counts
 
-#: Parts of a model id that mark a frontier model.
-FRONTIER = ("405b", "x1", "large", "deep")
+#: Parts of a model id that mark a frontier model.
+FRONTIER = ("claude", "qwen3-coder", "deepseek", "glm", "kimi", "gpt-oss", "minimax", "nemotron")
 GENERAL_CEILING, MIN_DIFFERENCE, FDR_Q = 0.20, 0.30, 0.10
 DEFAULT_MIN_K = 10
 
 
 def runs(log: DataFrame) -> DataFrame:
-    """The runs of the log, in log order, each run_id once (the first); a null id is never a copy. The rank filter
-    limits each id's rows before the shuffle."""
+    """The runs of the log, each once: of deliveries of one record (its identity, whatever its spelling) the first; of rows
+    whose identity isn't whole, the first of each run_id, and all that have none either. Rank filters limit each group before the shuffle."""
     rows = log.where("kind = 'run'")
+    whole = F.lit(True)
+    for field in dedup.IDENTITY:
+        whole = whole & F.col(field).isNotNull()
     first = F.row_number().over(Window.partitionBy("run_id").orderBy("seq"))
-    named = rows.where("run_id IS NOT NULL").withColumn("nth", first).where("nth = 1").drop("nth")
-    return named.unionByName(rows.where("run_id IS NULL"))
+    rest = rows.where(~whole)
+    named = rest.where("run_id IS NOT NULL").withColumn("nth", first).where("nth = 1").drop("nth")
+    return dedup.exactly_once(rows.where(whole)).unionByName(named).unionByName(rest.where("run_id IS NULL"))
 
 
 def new_runs(stored: DataFrame, batch: DataFrame) -> DataFrame:
@@ -38,10 +43,11 @@ def run_id() -> Column:
     return F.substring(F.sha2(parts, 256), 1, 16)
 
 
-def is_frontier(model: Column, marks: tuple[str, ...] = FRONTIER) -> Column:
+def is_frontier(model: Column, extra: tuple[str, ...] = ()) -> Column:
+    """Whether a model id has one of the marks, or of extra ones, in any letter case."""
     low = F.lower(model)
     out = F.lit(False)
-    for m in marks:
+    for m in (*FRONTIER, *(x.lower() for x in extra)):
         out = out | low.contains(m)
     return F.coalesce(out, F.lit(False))
 
@@ -51,7 +57,7 @@ def min_k(log: DataFrame) -> DataFrame:
     return runs(log).groupBy("puzzle_id").agg(F.coalesce(F.max_by("min_k", "seq"), F.lit(DEFAULT_MIN_K)).alias("min_k"))
 
 
-def aggregate(log: DataFrame, generator: str = "borealis") -> DataFrame:
+def aggregate(log: DataFrame, generator: str) -> DataFrame:
     """Per puzzle: successes and trials of the generator's family and of all others (a null family is one of
     them), the latest content hash, the latest panel that was present (by start, then log order), and the number of runs."""
     own = F.coalesce(F.lower("family") == generator.lower(), F.lit(False))
@@ -63,11 +69,11 @@ def aggregate(log: DataFrame, generator: str = "borealis") -> DataFrame:
     )
 
 
-def series(log: DataFrame) -> DataFrame:
+def series(log: DataFrame, frontier: tuple[str, ...] = ()) -> DataFrame:
     """Per puzzle and model: runs, totals, first place in the log, and whether the model is a frontier one."""
     return runs(log).groupBy("puzzle_id", "model_id").agg(
         F.count("*").alias("runs"), F.sum("successes").alias("s"), F.sum("n").alias("n"), F.min("seq").alias("first_seq")
-    ).withColumn("frontier", is_frontier(F.col("model_id")))
+    ).withColumn("frontier", is_frontier(F.col("model_id"), frontier))
 
 
 def evidence(log: DataFrame, p0: float = 0.90, p1: float = 0.97, low: float = 0.75) -> DataFrame:
@@ -104,21 +110,18 @@ def differences(aggregates: DataFrame) -> DataFrame:
     return rows.withColumns({"typology": typology, "resolvable": (F.col("upper") - F.col("lower")) / 2}).drop("p1", "l1", "u1", "p2", "l2", "u2")
 
 
-def classified(aggregates: DataFrame, q: float = FDR_Q) -> DataFrame:
-    """differences with Fisher's p, and directional findings that don't survive the control of false discoveries
-    over all directional ones made inconclusive. The window without partition has directional puzzles only, 40 bytes each."""
-    rows = differences(aggregates).withColumn("p", exact.fisher_p(*[F.col(c).cast("double") for c in ("own_s", "own_n", "cohort_s", "cohort_n")]))
-    found = rows.where(F.col("typology").isin("gap", "strength")).select("puzzle_id", "p", F.lit(1).alias("all"))
-    survived = step_up(found, "p", q, ["all"], ["puzzle_id"]).select("puzzle_id", F.col("reject").alias("survived"))
-    out = rows.join(survived, "puzzle_id", "left")
-    return out.withColumns({
-        "typology": F.when(F.col("survived") | F.col("survived").isNull(), F.col("typology")).otherwise("inconclusive"),
-        "survived": F.coalesce("survived", F.lit(True)),
-    })
-
-
-def latest_state(changes: DataFrame, key: str = "puzzle_id", value: str = "to_tier") -> DataFrame:
-    """(key, value): what the last change in the log says."""
-    return changes.groupBy(key).agg(F.max_by(value, "seq").alias(value))
+def guarded_aggregates(aggregates: DataFrame) -> DataFrame:
+    """aggregates, with an error where a count is negative or has more successes than trials; no trials are allowed."""
+    bad = lambda s, n: (F.col(s) < 0) | (F.col(n) < 0) | (F.col(s) > F.col(n))
+    wrong = bad("own_s", "own_n") | bad("cohort_s", "cohort_n")
+    return aggregates.withColumn("own_n", stats.guarded(wrong, "BAD_COUNTS", F.col("own_n")))
 
 
+def classified(aggregates: DataFrame, q: float = FDR_Q) -> DataFrame:
+    """differences with Fisher's p, and directional findings that don't survive the control of false discoveries
+    over all directional ones made inconclusive."""
+    p = exact.fisher_p(*[F.col(c).cast("double") for c in ("own_s", "own_n", "cohort_s", "cohort_n")])
+    rows = differences(guarded_aggregates(aggregates)).withColumn("p", p)
+    directional = F.col("typology").isin("gap", "strength")
+    out = step_up_by_counts(rows, "p", q, directional).withColumn("survived", F.when(directional, F.col("reject")).otherwise(True)).drop("reject")
+    return out.withColumn("typology", F.when(F.col("survived"), F.col("typology")).otherwise("inconclusive"))

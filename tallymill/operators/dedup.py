@@ -53,24 +53,31 @@ def _known(names: list[str]) -> Column:
     return known
 
 
+def _first(keyed: DataFrame, names: list[str], arrival: tuple[str, ...], tie: Column) -> DataFrame:
+    """The first delivery of each record of keyed rows: ranked by arrival within the record, ties by hash.
+
+    The rank filter lets Spark limit each group before the shuffle, so a hot record sends one row
+    per map task, however many copies it has.
+    """
+    (rank,) = fresh(keyed, "rank")
+    window = Window.partitionBy(*names).orderBy(*[F.col(a).asc_nulls_last() for a in arrival], tie)
+    return keyed.where(_known(names)).withColumn(rank, F.row_number().over(window)).where(F.col(rank) == 1).drop(rank)
+
+
+def _tie(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(c).cast("string") for c, t in df.dtypes if not t.startswith("map")])
+
+
 def exactly_once(
     df: DataFrame,
     fields: tuple[str, ...] = IDENTITY,
     times: tuple[str, ...] = ("started_at",),
     arrival: tuple[str, ...] = ("seq",),
 ) -> DataFrame:
-    """df with the first delivery of each record only.
-
-    The rank filter lets Spark limit each group before the shuffle, so a hot record sends one row
-    per map task, however many copies it has.
-    """
+    """df with the first delivery of each record only."""
     keyed, names = _keyed(df, fields, times)
-    (rank,) = fresh(keyed, "rank")
-    tie = F.xxhash64(*[F.col(c).cast("string") for c, t in df.dtypes if not t.startswith("map")])
-    order = [F.col(a).asc_nulls_last() for a in arrival]
-    window = Window.partitionBy(*names).orderBy(*order, tie)
-    ranked = keyed.where(_known(names)).withColumn(rank, F.row_number().over(window)).where(F.col(rank) == 1)
-    return ranked.select(*df.columns).unionByName(keyed.where(~_known(names)).select(*df.columns))
+    first = _first(keyed, names, arrival, _tie(df))
+    return first.select(*df.columns).unionByName(keyed.where(~_known(names)).select(*df.columns))
 
 
 def surplus(
@@ -81,14 +88,16 @@ def surplus(
 ) -> DataFrame:
     """(kept_seq, dup_seq): each surplus delivery beside the record's first one.
 
-    One pass counts deliveries per record with partial aggregation; only records delivered more than
-    once are written out and joined back, hot ones salted.
+    The kept rows are those of exactly_once, by the same rank. Deliveries per record are counted with partial aggregation; only
+    records delivered more than once are written out and joined back, hot ones salted.
     """
     keyed, names = _keyed(df.select(*fields, seq), fields, times)
-    rows = keyed.where(_known(names) & F.col(seq).isNotNull()).select(*names, F.col(seq).alias("dup_seq"))
-    records = rows.groupBy(*names).agg(F.min("dup_seq").alias("kept_seq"), F.count("*").alias("deliveries"))
-    joined = spread_join(rows, cut(records.where("deliveries > 1")), names, "deliveries", F.col("dup_seq"))
-    return joined.where("dup_seq <> kept_seq").select("kept_seq", "dup_seq").distinct()
+    (dup,) = fresh(keyed, "dup_seq")
+    rows = keyed.where(_known(names) & F.col(seq).isNotNull()).select(*names, F.col(seq).alias(dup))
+    kept = _first(rows, names, (dup,), F.col(dup)).withColumnRenamed(dup, "kept_seq")
+    counts = rows.groupBy(*names).agg(F.count("*").alias("deliveries")).where("deliveries > 1")
+    joined = spread_join(rows, cut(kept.join(counts, names)), names, "deliveries", F.col(dup))
+    return joined.where(F.col(dup) != F.col("kept_seq")).select("kept_seq", F.col(dup).alias("dup_seq")).distinct()
 
 
 def accept_batch(

@@ -17,6 +17,8 @@ from tallymill.functions import exact, stats
 from tallymill.session import cut
 
 ECE_BINS = 10
+#: Ranges of p that are ranked apart.
+BH_BLOCKS = 4096
 #: Mean errors of two judges correlate too much from here on.
 RHO_LIMIT = 0.25
 
@@ -264,6 +266,26 @@ def step_up(rows: DataFrame, p: str, q: float, part: list[str], order: list[str]
     return ranked.withColumn("reject", F.coalesce(F.col("k") <= passed, F.lit(False))).drop("k", "m")
 
 
+def step_up_by_counts(rows: DataFrame, p: str, q: float, among: Column | None = None) -> DataFrame:
+    """rows with `reject`: Benjamini and Hochberg's control over the rows of `among`, equal p alike.
+
+    No row is ranked in one task: distinct values of p are counted, their running counts added up over ranges of p
+    that are windowed apart, and the largest p that passes is one number.
+    """
+    some = rows.where(among) if among is not None else rows
+    counts = some.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count("*").alias("n"))
+    # values up to q in ranges of q / BH_BLOCKS; the last range has all others, which can't pass
+    block = F.least(F.lit(BH_BLOCKS), F.floor(F.col("p") / (q / BH_BLOCKS))).alias("block")
+    blocked = counts.select("p", "n", block)
+    sizes = blocked.groupBy("block").agg(F.sum("n").alias("size"))
+    before = sizes.select("block", F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    total = sizes.agg(F.sum("size")).scalar()
+    low = blocked.where(F.col("p") <= q)
+    rank = F.sum("n").over(Window.partitionBy("block").orderBy("p")) + F.col("before")
+    limit = low.join(F.broadcast(before), "block").withColumn("k", rank).where(F.col("p") <= F.col("k") / total * q).agg(F.max("p")).scalar()
+    return rows.withColumn("reject", F.coalesce(F.col(p) <= limit, F.lit(False)))
+
+
 def alt_test(verdicts: DataFrame, epsilon: float = 0.1, q: float = 0.05) -> DataFrame:
     """(model_id, omega): share of held-out peers against whom a judge is no more than epsilon worse, after control
     of false discoveries."""

@@ -51,3 +51,28 @@ def campaign_report(labels: DataFrame) -> DataFrame:
     epsilon = F.when((F.col("alpha") < POOR_BELOW) & (F.col("eps") > 0.1), 0.1).otherwise(F.col("eps"))
     return out.select("campaign_id", "annotators", "items", "alpha", epsilon.alias("epsilon"), "disputed",
                       ((F.col("annotators") >= MIN_ANNOTATORS) & (F.col("items") >= FEW_ITEMS)).alias("enough"))
+
+
+def graded(votes: DataFrame, bank: DataFrame, strict: bool = False) -> DataFrame:
+    """votes of known items with their gold (1 for A or PASS, else 0) and whether they meet it, in the form of judgments. An item the
+    bank doesn't have is an error in strict mode, else its votes are left out."""
+    gold = F.when(F.upper(F.trim("gold")).isin("A", "PASS"), 1).otherwise(0)
+    keyed = bank.where("id IS NOT NULL").groupBy(F.col("id").alias("item_id")).agg(F.min(gold).alias("gold"))
+    rows = votes.join(keyed, "item_id", "left" if strict else "inner")
+    if strict:
+        rows = rows.withColumn("gold", F.when(F.col("gold").isNull(), F.raise_error(F.lit("UNKNOWN_ITEM")).cast("int")).otherwise(F.col("gold")))
+    return rows.withColumn("is_correct", (F.col("pred") == F.col("gold")).cast("double"))
+
+
+def with_judge(humans: DataFrame, judge: DataFrame) -> DataFrame:
+    """(item_id, model_id, verdict, role): the people's votes(item_id, who, pred) beside one judge's verdicts(item_id, verdict), whose id is 'judge'.
+
+    The roles keep a person called judge apart.
+    """
+    people = humans.select("item_id", F.concat(F.lit("human:"), F.col("who")).alias("model_id"), F.col("pred").alias("verdict"), F.lit("human").alias("role"))
+    return people.unionByName(judge.select("item_id", F.lit("judge").alias("model_id"), F.col("verdict"), F.lit("judge").alias("role")))
+
+
+def undisputed(votes: DataFrame, agreement: DataFrame, keys: list[str]) -> DataFrame:
+    """votes on items that aren't disputed; items without agreement stay."""
+    return votes.join(agreement.where("disputed").select(*keys).distinct(), keys, "left_anti")

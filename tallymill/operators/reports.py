@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions import ids, stats
-from tallymill.operators import catalog, judges, trials
+from tallymill.operators import catalog, judges, transitions, trials
+from tallymill.session import cut
 
 
 def missed_trivial(rows: DataFrame, bank: DataFrame) -> DataFrame:
@@ -64,26 +63,23 @@ def personal_best(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("puzzle_id", "model").agg(F.max(number).alias("best")).where("best IS NOT NULL")
 
 
-def catalog_list(log: DataFrame, changes: DataFrame | None = None) -> DataFrame:
-    """One row per puzzle of the log: state (lab if nothing changed it), aggregates, and the typology after the control of false discoveries."""
-    rows = catalog.classified(catalog.aggregate(log)).select(
-        "puzzle_id", "runs", "own_s", "own_n", "cohort_s", "cohort_n", F.bround("delta", 3).alias("delta"), "typology", "survived"
-    )
-    if changes is None:
-        return rows.withColumn("state", F.lit("lab"))
-    return rows.join(catalog.latest_state(changes), "puzzle_id", "left").withColumn("state", F.coalesce("to_tier", F.lit("lab"))).drop("to_tier")
-
-
-def characterization(rows: DataFrame, bank: DataFrame) -> str:
-    """The report of a panel as one JSON text: profiles, grade matrix, screen, correlations, missed trivial items. Its size is that of the
-    panel's judges times the bank's items."""
-    profiles = judges.decide(judges.measure(rows))
-    many = lambda df: [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).collect()]
-    matrix: dict[str, dict[str, bool]] = {}
-    for r in judges.grade_matrix(rows).collect():
-        matrix.setdefault(r.model_id, {})[r.item_id] = r.correct
-    report = {
-        "profiles": many(profiles), "grade_matrix": matrix, "screen": many(judges.screen_items(judges.grade_matrix(rows))),
-        "correlations": {r.pair: r.rho for r in correlation_report(rows).collect()}, "missed_trivial": {r.model_id: list(r.missed) for r in missed_trivial(rows, bank).collect()},
-    }
-    return ids.canonical(report)
+def catalog_list(log: DataFrame, changes: DataFrame, generator: str) -> DataFrame:
+    """One row per puzzle of the log or its changes: tier, aggregates, and the typology after the control of false discoveries."""
+    runs = cut(catalog.runs(log))
+    rows = transitions.views(catalog.classified(catalog.aggregate(log, generator)), runs, transitions.transitions(changes))
+    return rows.select("puzzle_id", F.col("tier").alias("state"), "n_runs", "own_s", "own_n", "cohort_s", "cohort_n", F.bround("delta", 3).alias("delta"), "typology", "survived")
+
+
+def characterization(rows: DataFrame, bank: DataFrame) -> DataFrame:
+    """The report of a panel as rows (part, key, document), document in JSON: profiles, grades, screen, correlations, missed trivial items.
+    Each part is one row per judge, item or pair, so the report is as distributed as what it is made of; write it with partitionBy("part")."""
+    grades = judges.grade_matrix(rows)
+    as_part = lambda part, df, *key: df.select(F.lit(part).alias("part"), F.concat_ws("|", *key).alias("key"), F.to_json(F.struct("*")).alias("document"))
+    parts = [
+        as_part("profile", judges.decide(judges.measure(rows)), "model_id"), as_part("grade", grades, "model_id", "item_id"), as_part("screen", judges.screen_items(grades), "item_id"),
+        as_part("correlation", correlation_report(rows), "pair"), as_part("missed_trivial", missed_trivial(rows, bank), "model_id"),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -1,7 +1,7 @@
 """Traces of attempts: order, repeated calls, read and touched paths, large payloads.
 
 Calls are numbered in blocks (tallymill.skew.blocked_number), so no window spans an attempt, which may hold a large
-share of all events; what looks at earlier calls compares numbers of equal calls.
+share of all events, nor all equal calls of one.
 """
 
 from __future__ import annotations
@@ -46,13 +46,24 @@ def arguments(payload: Column) -> Column:
     return F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json(payload), "$.args", "variant")), F.lit("{}"))
 
 
-def calls(trace: DataFrame) -> DataFrame:
-    """(attempt_id, seq, tool, args, signature): the tool events; signature agrees for equal calls."""
+def deliveries_of_calls(trace: DataFrame) -> DataFrame:
+    """(attempt_id, seq, tool, args, signature): the tool events as delivered, payloads read before anything is shuffled; signature agrees for equal calls."""
     tool = F.coalesce(F.get_json_object("payload", "$.tool"), F.lit(""))
-    rows = events(trace).where("kind = 'tool'").select("attempt_id", "seq", tool.alias("tool"), arguments(F.col("payload")).alias("args"))
+    rows = trace.where("kind = 'tool' AND attempt_id IS NOT NULL AND seq IS NOT NULL").select("attempt_id", "seq", tool.alias("tool"), arguments(F.col("payload")).alias("args"))
     return rows.withColumn("signature", F.xxhash64("tool", "args"))
 
 
+def once(deliveries: DataFrame, *columns: str) -> DataFrame:
+    """(attempt_id, seq, *columns): each event once; of differing copies the one with the smallest columns. Only these columns are shuffled."""
+    kept = deliveries.groupBy("attempt_id", "seq").agg(F.min(F.struct(*columns)).alias("e"))
+    return kept.select("attempt_id", "seq", *[F.col(f"e.{c}").alias(c) for c in columns])
+
+
+def calls(trace: DataFrame) -> DataFrame:
+    """(attempt_id, seq, signature, tool, args): the tool events, each once."""
+    return once(deliveries_of_calls(trace), "signature", "tool", "args")
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _tokens(command: pd.Series) -> pd.Series:
     def split(text):
@@ -76,7 +87,7 @@ def paths(tool_calls: DataFrame) -> DataFrame:
     file_path = F.when(F.col("tool").isin(*FILE_TOOLS), F.get_json_object("args", "$.path"))
     none = F.array().cast("array<string>")
     single = F.when(file_path.isNotNull() & (file_path != ""), F.array(file_path)).otherwise(none)
-    operands = F.filter(F.slice("tokens", 2, 1_000_000), _is_path)
+    operands = F.filter(F.slice("tokens", 2, F.greatest(F.lit(0), F.size("tokens") - 1)), _is_path)
     reads = F.get("tokens", F.lit(0)).isin(*READERS)
     return has_exec.withColumns({
         "read": F.when(F.col("tool") == "exec", F.when(reads, operands).otherwise(none)).otherwise(single),
@@ -84,15 +95,29 @@ def paths(tool_calls: DataFrame) -> DataFrame:
     }).withColumn("path", F.get("read", F.lit(0))).drop("tokens")
 
 
+def _near(rows: DataFrame, reach: int, block: int = 4096) -> DataFrame:
+    """rows with near: whether an equal signature stands in the `reach` places before. Places are windowed in blocks, to each of
+    which the last `reach` rows of the block before are lent."""
+    own = F.floor(F.col("place") / block)
+    spread = rows.withColumn("blk", F.explode(F.when((F.col("place") % block >= block - reach), F.array(own, own + 1)).otherwise(F.array(own))))
+    inside = Window.partitionBy("attempt_id", "blk").orderBy("place")
+    near = F.lit(False)
+    for k in range(1, reach + 1):
+        near = near | F.coalesce(F.lag("signature", k).over(inside) == F.col("signature"), F.lit(False))
+    return spread.withColumn("near", near).where(F.col("blk") == own).drop("blk")
+
+
 def redundancy(trace: DataFrame) -> DataFrame:
-    """(attempt_id, tool_calls, redundant, tcrr): calls equal to one of the NEAR before them (the last equal call is
-    at most NEAR places back), or beyond the second of one tool on one path."""
-    rows = blocked_number(paths(calls(trace)).select("attempt_id", "seq", "tool", "path", "signature"), "attempt_id", "seq")
-    equal = F.lag("place").over(Window.partitionBy("attempt_id", "signature").orderBy("place"))
-    nth = F.row_number().over(Window.partitionBy("attempt_id", "tool", "path").orderBy("place"))
-    again = F.coalesce(F.col("place") - equal <= NEAR, F.lit(False))
-    over = F.col("path").isNotNull() & (F.col("nth") > SAME_PATH)
-    flagged = rows.withColumns({"nth": nth, "near": again}).withColumn("again", F.col("near") | over)
+    """(attempt_id, tool_calls, redundant, tcrr): calls equal to one of the NEAR before them, or beyond the second of one tool on one path.
+
+    All numbering is in blocks, so an attempt that does nothing but repeat one call is spread like any other.
+    """
+    known = once(paths(deliveries_of_calls(trace)), "signature", "tool", "path")
+    rows = _near(blocked_number(known, "attempt_id", "seq"), NEAR)
+    some = rows.where("path IS NOT NULL").withColumn("spot", F.struct("attempt_id", "tool", "path"))
+    pathed = blocked_number(some, "spot", "place", "nth").drop("spot")
+    flagged = pathed.unionByName(rows.where("path IS NULL").withColumn("nth", F.lit(0).cast("bigint")))
+    flagged = flagged.withColumn("again", F.col("near") | (F.col("nth") >= SAME_PATH))
     return flagged.groupBy("attempt_id").agg(
         F.count("*").alias("tool_calls"), F.count_if("again").alias("redundant"), F.avg(F.col("again").cast("double")).alias("tcrr")
     )
@@ -101,20 +126,28 @@ def redundancy(trace: DataFrame) -> DataFrame:
 def first_halt(trace: DataFrame, budgets: DataFrame) -> DataFrame:
     """(attempt_id, seq, reason): the first tool call that a governor refuses, given budgets(attempt_id, identical,
     tool_call_budget): the n-th equal call in a row, else the one past the budget; the former is looked at first. Equal
-    calls stand in a row where their place less their rank among equal calls stays the same."""
-    rows = blocked_number(calls(trace).select("attempt_id", "seq", "signature"), "attempt_id", "seq")
-    rank = F.row_number().over(Window.partitionBy("attempt_id", "signature").orderBy("place"))
-    rows = rows.withColumn("island", F.col("place") - rank)
-    in_island = Window.partitionBy("attempt_id", "signature", "island").orderBy("place")
-    rows = rows.withColumn("length", F.row_number().over(in_island)).join(budgets, "attempt_id")
-    reason = F.when(F.col("length") >= F.col("identical"), "hard_kill").when(F.col("place") >= F.col("tool_call_budget"), "budget")
+    calls stand in a row where their place less their rank among equal calls stays the same; ranks are counted in blocks."""
+    rows = blocked_number(once(deliveries_of_calls(trace), "signature"), "attempt_id", "seq")
+    rows = blocked_number(rows.withColumn("same", F.struct("attempt_id", "signature")), "same", "place", "rank")
+    rows = rows.withColumn("run", F.struct("attempt_id", "signature", F.col("place") - F.col("rank")))
+    rows = blocked_number(rows, "run", "place", "length").join(budgets, "attempt_id")
+    reason = F.when(F.col("length") + 1 >= F.col("identical"), "hard_kill").when(F.col("place") >= F.col("tool_call_budget"), "budget")
     halted = rows.withColumn("reason", reason).where("reason IS NOT NULL")
     return halted.groupBy("attempt_id").agg(F.min("seq").alias("seq"), F.min_by("reason", "seq").alias("reason"))
 
 
+def time_halt(trace: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(attempt_id, seq, elapsed): the first event past the time budget, given budgets(attempt_id, started_at, time_budget_seconds); an event on the
+    boundary is within it, one without time is passed over."""
+    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
+    times = trace.where("attempt_id IS NOT NULL AND seq IS NOT NULL AND ts IS NOT NULL").groupBy("attempt_id", "seq").agg(F.min("ts").alias("ts"))
+    late = times.join(budgets, "attempt_id").withColumn("elapsed", seconds).where("elapsed > time_budget_seconds")
+    return late.groupBy("attempt_id").agg(F.min("seq").alias("seq"), F.min_by("elapsed", "seq").alias("elapsed"))
+
+
 def path_sets(trace: DataFrame) -> DataFrame:
     """(attempt_id, path, reads, touches): how often each path of an attempt was read and touched."""
-    rows = paths(calls(trace))
+    rows = once(paths(deliveries_of_calls(trace)), "signature", "read", "touched")
     both = rows.select("attempt_id", F.explode("read").alias("path"), F.lit(1).alias("r"), F.lit(0).alias("t")).unionByName(
         rows.select("attempt_id", F.explode("touched").alias("path"), F.lit(0).alias("r"), F.lit(1).alias("t"))
     )

@@ -49,3 +49,23 @@ def strict_majority(flag: Column) -> Column:
 def veto(flag: Column, confidence: Column, threshold: float) -> Column:
     """Aggregate: one flag of enough confidence, or of unknown confidence, is enough."""
     return F.coalesce(F.some(flag & F.coalesce(confidence >= threshold, F.lit(True))), F.lit(False))
+
+
+def eligible(judges: DataFrame, generator: str, strict: bool = False) -> DataFrame:
+    """The judges(model_id, family) that may judge what a family generated: those of another family; without one, only where not strict."""
+    family = F.lower(F.trim("family"))
+    known = F.when(family != "", family)
+    return judges.where(F.coalesce(known != generator.strip().lower(), F.lit(not strict)))
+
+
+def panel_scores(votes: DataFrame, key: str, verdict: str, error: str, seq: str = "seq") -> DataFrame:
+    """Per key: the verdict most votes without error give (at equal counts the one cast first), how many gave it, voted and failed;
+    status is 'failed' where all votes did."""
+    sound = F.col(error).isNull() & F.col(verdict).isNotNull()
+    per = votes.groupBy(key, F.when(sound, F.col(verdict)).alias(verdict)).agg(F.count("*").alias("n"), F.min(seq).alias("first"))
+    voted = F.col(verdict).isNotNull()
+    best = F.max_by(verdict, F.when(voted, F.struct(F.col("n"), -F.col("first"))))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return per.groupBy(key).agg(
+        best.alias(verdict), F.coalesce(F.max(F.when(voted, F.col("n"))), F.lit(0)).alias("votes"), total(voted).alias("voted"), total(~voted).alias("failed"),
+    ).withColumn("status", F.when(F.col("voted") == 0, "failed").otherwise("scored"))

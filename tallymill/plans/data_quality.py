@@ -29,6 +29,14 @@ _DELIVERED = f"""
   k AS (SELECT *, {_KEYS} FROM a),
   g AS (SELECT *, min(seq) OVER (PARTITION BY kh, km, kn, kt) AS kept FROM k)
 """
+#: SQL of the runs of the log, each once, as catalog.runs has them.
+RUNS = f"""ra AS (SELECT *, upper(regexp_replace(started_at, '{_BLANK}', '', 'g')) AS s FROM catalog_runs WHERE kind = 'run'),
+  rk AS (SELECT *, {_KEYS} FROM ra),
+  rw AS (SELECT * EXCLUDE (s, kh, km, kn, kt), min(seq) OVER (PARTITION BY kh, km, kn, kt) AS kept,
+      kh IS NOT NULL AND km IS NOT NULL AND kn IS NOT NULL AND s IS NOT NULL AS whole FROM rk),
+  rn AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS nth FROM rw WHERE NOT whole),
+  r AS (SELECT * EXCLUDE (whole, kept) FROM rw WHERE whole AND seq = kept
+    UNION ALL SELECT * EXCLUDE (whole, kept, nth) FROM rn WHERE run_id IS NULL OR nth = 1)"""
 
 QUERIES = {
     "p1_found": lambda spark, d: dedup.surplus(table(spark, d, "catalog_runs")),
@@ -46,14 +54,15 @@ QUERIES = {
 
 def _batches(runs):
     """What the batches of the log's second half add to its first half."""
-    first = F.substring(F.trim(F.col("batch_id")), -6, 6).try_cast("int") % 2 == 0
+    number = F.substring(F.trim(F.col("batch_id")), -6, 6).try_cast("int")
+    first = F.coalesce(number % 2 == 0, F.lit(False))  # a batch without a number comes with the second half
     return dedup.accept_batch(runs.where(first), runs.where(~first)).select("seq", "batch_id", "nonce")
 
 
 SQL = {
     "p1_found": _DELIVERED + "SELECT kept AS kept_seq, seq AS dup_seq FROM g WHERE seq <> kept",
     "p1_once": _DELIVERED + "SELECT seq, puzzle_id, model_id, nonce, n, successes FROM g WHERE seq = kept",
-    "p1_batches": _DELIVERED.replace("FROM catalog_runs)", "FROM catalog_runs WHERE TRY_CAST(right(trim(batch_id), 6) AS INT) IS NOT NULL)")
+    "p1_batches": _DELIVERED
     + """SELECT min(seq) AS seq, arg_min(batch_id, seq) AS batch_id, arg_min(nonce, seq) AS nonce FROM k GROUP BY kh, km, kn, kt
-         HAVING bool_and(CAST(right(trim(batch_id), 6) AS INT) % 2 <> 0)""",
+         HAVING bool_and(coalesce(TRY_CAST(right(trim(batch_id), 6) AS INT) % 2 <> 0, true))""",
 }

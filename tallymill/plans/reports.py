@@ -35,7 +35,7 @@ QUERIES = {
     "a14_run_records": _records,
     "a21_run_rollup": _rollup,
     "f137_personal_best": lambda s, d: reports.personal_best(T.attempts(s, d)),
-    "k223_catalog_list": lambda s, d: reports.catalog_list(T.log(s, d)),
+    "k223_catalog_list": lambda s, d: reports.catalog_list(T.log(s, d), T.GENERATOR),
     "c19_family_mismatch": lambda s, d: table(s, d, "judgments").select("model_id", "family").distinct().select(
         "model_id", "family", text.family_mismatch(F.split("model_id", "-")[0], F.col("family")).alias("mismatch")),
     "b33_penalty_lookup": lambda s, d: _penalties(s, d),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.stats import Z95
 from tallymill.operators import catalog, trace, trials
+from tallymill.plans.data_quality import RUNS
 from tallymill.plans.judging import R, rounded
 from tallymill.session import table
 
@@ -71,8 +72,9 @@ _OUT = f"""{A}, {_RED}, pz AS (SELECT *, list_transform(penalties, lambda p: p['
       CASE WHEN used > tool_call_budget THEN 'over_tool_budget' END, CASE WHEN tm > time_budget_seconds THEN 'over_time_budget' END,
       CASE WHEN claimed AND NOT validated THEN 'novelty_unvalidated' END) AS failed FROM oc3)"""
 
-L = """r0 AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS nth FROM catalog_runs WHERE kind = 'run'),
-  r AS (SELECT * FROM r0 WHERE run_id IS NULL OR nth = 1)"""
+#: What the run log of these tables calls the generators' family, and parts of its names of frontier models.
+GENERATOR, FRONTIER = "borealis", ("405b", "x1", "large", "deep")
+L = RUNS
 _AGG = f"""{L}, g AS (SELECT puzzle_id,
       sum(CASE WHEN coalesce(lower(family) = 'borealis', false) THEN successes ELSE 0 END)::BIGINT AS own_s, sum(CASE WHEN coalesce(lower(family) = 'borealis', false) THEN n ELSE 0 END)::BIGINT AS own_n,
       sum(CASE WHEN coalesce(lower(family) = 'borealis', false) THEN 0 ELSE successes END)::BIGINT AS cohort_s, sum(CASE WHEN coalesce(lower(family) = 'borealis', false) THEN 0 ELSE n END)::BIGINT AS cohort_n,
@@ -124,7 +126,7 @@ def _e_values(spark, d):
 
 
 def _aggregate(spark, d):
-    return catalog.aggregate(log(spark, d)).select("puzzle_id", "own_s", "own_n", "cohort_s", "cohort_n", "content_hash", "runs",
+    return catalog.aggregate(log(spark, d), GENERATOR).select("puzzle_id", "own_s", "own_n", "cohort_s", "cohort_n", "content_hash", "runs",
                                                    F.col("panel.fairness").alias("fairness"), F.col("panel.meets_quorum").alias("quorum"))
 
 
@@ -151,10 +153,10 @@ QUERIES = {
     "a12_runs": lambda s, d: catalog.runs(log(s, d)).select("seq", "run_id", "puzzle_id", "model_id"),
     "d78_aggregate": _aggregate,
     "d81_min_k": lambda s, d: catalog.min_k(log(s, d)),
-    "d82_series": lambda s, d: catalog.series(log(s, d)),
+    "d82_series": lambda s, d: catalog.series(log(s, d), FRONTIER),
     "d83_evidence": _e_values,
-    "b46_differences": lambda s, d: rounded(catalog.differences(catalog.aggregate(log(s, d))).select("puzzle_id", "delta", "lower", "upper", "resolvable", "typology")),
-    "e122_classified": lambda s, d: rounded(catalog.classified(catalog.aggregate(log(s, d))).select("puzzle_id", "p", "typology", "survived"), 8),
+    "b46_differences": lambda s, d: rounded(catalog.differences(catalog.aggregate(log(s, d), GENERATOR)).select("puzzle_id", "delta", "lower", "upper", "resolvable", "typology")),
+    "e122_classified": lambda s, d: rounded(catalog.classified(catalog.aggregate(log(s, d), GENERATOR)).select("puzzle_id", "p", "typology", "survived"), 8),
     "h172_run_ids": lambda s, d: log(s, d).select("seq", catalog.run_id().alias("run_id")),
 }
 
@@ -191,7 +193,7 @@ SQL = {
     "d78_aggregate": f"WITH {_AGG} SELECT puzzle_id, own_s, own_n, cohort_s, cohort_n, content_hash, runs, fairness, quorum FROM g LEFT JOIN pn USING (puzzle_id)",
     "d81_min_k": f"WITH {L} SELECT puzzle_id, coalesce(arg_max(min_k, seq), 10) AS min_k FROM r GROUP BY 1",
     "d82_series": f"""WITH {L} SELECT puzzle_id, model_id, count(*) AS runs, sum(successes)::BIGINT AS s, sum(n)::BIGINT AS n, min(seq) AS first_seq,
-        regexp_matches(lower(model_id), '405b|x1|large|deep') AS frontier FROM r GROUP BY 1, 2""",
+        regexp_matches(lower(model_id), '405b|x1|large|deep|claude|qwen3-coder|deepseek|glm|kimi|gpt-oss|minimax|nemotron') AS frontier FROM r GROUP BY 1, 2""",
     "d83_evidence": f"""WITH {L}, e AS (SELECT puzzle_id, model_id, count(*) AS runs, sum(n)::BIGINT AS n, sum(successes * ln(0.97 / 0.9) + (n - successes) * ln(0.03 / 0.1)) AS u,
         sum((n - successes) * ln(0.5 / 0.25) + successes * ln(0.5 / 0.75)) AS w FROM r GROUP BY 1, 2)
       SELECT puzzle_id, model_id, runs, n, round(u, 6) + 0.0 AS log_up, round(w, 6) + 0.0 AS log_down, exp(least(u, 700)) >= 20 AS saturated, exp(least(w, 700)) >= 20 AS fallen FROM e""",

@@ -82,7 +82,10 @@ def test_ids(spark):
     assert one(spark, ids.stable_id(F.lit("a"), F.lit("b"), ids.listed(F.array(F.lit("y"), F.lit("x")))))[0] == want
     df = spark.createDataFrame([('{"b": 1, "a": null}',), ("no",), (None,), ('{"a": NaN}',)], "t STRING")
     assert [r.c for r in df.select(ids.canonical_json("t").alias("c")).collect()] == ['{"a":null,"b":1}', None, None, None]
-    assert [ids.next_version(v) for v in ("2026.06", "v01", "v1.", "", "x", "2026.09", "v1.9")] == ["2026.07", "v02", "v1.+1", "v1", "x+1", "2026.10", "v1.10"]
+    df = spark.createDataFrame([(v,) for v in ("2026.06", "v01", "v1.", " ", "x", "2026.09", "v1.9", "r99", "n" + "9" * 40)], "v STRING")
+    assert [r[0] for r in df.select(ids.next_version(F.col("v"))).collect()] == ["2026.07", "v02", "v1.+1", "v1", "x+1", "2026.10", "v1.10", "r100", "n" + "9" * 40 + "+1"]
+    whole = hashlib.sha256(b'{"judge_prompts":{"a":"p"},"thresholds":{},"weights":{"x":1,"y":2.5}}').hexdigest()
+    assert one(spark, ids.bundle_hash(F.lit('{"y": 2.5, "x": 1}'), F.lit("{}"), F.lit('{"a": "p"}')))[0] == whole
 
 
 def test_sensitivity_and_powers():
