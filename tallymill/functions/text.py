@@ -124,7 +124,8 @@ def first_logprob(response: Column) -> Column:
 
 
 def probability(logprob: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(logprob)))
+    """exp of a log probability, within [0, 1]; null stays null."""
+    return F.when(logprob.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(logprob))))
 
 
 def tool_calls(response: Column) -> Column:

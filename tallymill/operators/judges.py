@@ -310,6 +310,12 @@ def screen_items(matrix: DataFrame, min_variance: float = 0.0, min_r: float = 0.
     return measured.withColumn("label", label).unionByName(ragged)
 
 
+def folds(rows: DataFrame, k: int = 5) -> DataFrame:
+    """(model_id, item_id, fold): a judge's items with confidence, in order of their ids, dealt out to k folds; reruns of an item stay together."""
+    some = rows.where("confidence IS NOT NULL").select("model_id", "item_id").distinct()
+    return some.withColumn("fold", ((F.row_number().over(Window.partitionBy("model_id").orderBy("item_id")) - 1) % k).cast("bigint"))
+
+
 def temperatures(rows: DataFrame, folds: int = 5) -> DataFrame:
     """(model_id, temperature, ece_raw, ece_scaled, ece_cv): one judge's records are fitted together; they are first
     reduced to distinct (item, confidence, correctness) with counts."""

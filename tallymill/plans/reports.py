@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallymill.functions import text
 from tallymill.operators import reports, trials
 from tallymill.plans import judging as J
 from tallymill.plans import trials as T
@@ -35,9 +34,6 @@ QUERIES = {
     "a14_run_records": _records,
     "a21_run_rollup": _rollup,
     "f137_personal_best": lambda s, d: reports.personal_best(T.attempts(s, d)),
-    "k223_catalog_list": lambda s, d: reports.catalog_list(T.log(s, d), T.GENERATOR),
-    "c19_family_mismatch": lambda s, d: table(s, d, "judgments").select("model_id", "family").distinct().select(
-        "model_id", "family", text.family_mismatch(F.split("model_id", "-")[0], F.col("family")).alias("mismatch")),
     "b33_penalty_lookup": lambda s, d: _penalties(s, d),
     "d72_candidates": lambda s, d: trials.puzzle_history(T.attempts(s, d)).where("candidate").select("puzzle_id"),
 }
@@ -61,8 +57,6 @@ SQL = {
     "f137_personal_best": f"""WITH {T.A}, v AS (SELECT puzzle_id, model, CASE WHEN trim(o['value']) IN ('true', 'false') THEN CAST(trim(o['value']) = 'true' AS INT)::DOUBLE
         WHEN regexp_matches(trim(o['value']), '^-?[0-9]') THEN TRY_CAST(trim(o['value']) AS DOUBLE) END AS x FROM a)
       SELECT puzzle_id, model, max(x) AS best FROM v GROUP BY 1, 2 HAVING max(x) IS NOT NULL""",
-    "k223_catalog_list": f"WITH {T._FDR} SELECT puzzle_id, runs, own_s, own_n, cohort_s, cohort_n, round_even(delta, 3) + 0.0 AS delta, final AS typology, survived, 'lab' AS state FROM classified",
-    "c19_family_mismatch": "SELECT DISTINCT model_id, family, false AS mismatch FROM judgments",
     "b33_penalty_lookup": """SELECT attempt_id, array_to_string(list_sort(list_filter(list_transform(penalties, lambda p: p['name']), lambda n: n IN ('repeat_calls', 'test_edit'))), '|') AS drawn,
         array_to_string(list_sort(list_filter(['repeat_calls', 'test_edit'], lambda n: NOT coalesce(list_contains(list_transform(penalties, lambda p: p['name']), n), false))), '|') AS unknown
       FROM attempts LEFT JOIN puzzles USING (puzzle_id)""",

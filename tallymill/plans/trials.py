@@ -141,7 +141,6 @@ QUERIES = {
     "d73_model_profile": lambda s, d: rounded(trials.model_profile(attempts(s, d)), 6),
     "d74_roll_up": lambda s, d: trials.roll_up(attempts(s, d)),
     "d75_attempt_view": lambda s, d: trials.attempt_view(attempts(s, d)).withColumn("penalties", F.array_join("penalties", "|")),
-    "d76_bait_rates": lambda s, d: rounded(trials.bait_rates(attempts(s, d))),
     "d77_arm_divergence": lambda s, d: rounded(trials.arm_divergence(attempts(s, d))),
     "b32_gate": _gate,
     "e123_numbered": lambda s, d: trace.numbered(traces(s, d)).select("attempt_id", "seq", "place", "kind"),
@@ -171,7 +170,6 @@ SQL = {
         FROM a GROUP BY GROUPING SETS ((puzzle_id), (model), ())""",
     "d75_attempt_view": f"""WITH {A}, v AS (SELECT *, coalesce({_flag("o['metadata']", 'gate_passed')}, false) AS g FROM a)
       SELECT attempt_id, puzzle_id, framing_arm, g AS gate_passed, g AND coalesce(terminated_by, 'completed') = 'completed' AS solved, coalesce(terminated_by, 'completed') AS ended, '' AS penalties FROM v""",
-    "d76_bait_rates": "SELECT framing_arm, count(*) AS n, CAST(0 AS DOUBLE) AS bait_rate FROM attempts GROUP BY 1",
     "d77_arm_divergence": f"""WITH {A}, v AS (SELECT puzzle_id, avg(CAST(solved AS INT)::DOUBLE) FILTER (WHERE framing_arm = 'self_referential') AS x,
         avg(CAST(solved AS INT)::DOUBLE) FILTER (WHERE framing_arm = 'neutral') AS y FROM a GROUP BY 1)
       SELECT puzzle_id, {R('x')} AS rate_a, {R('y')} AS rate_b, {R('abs(x - y)')} AS gap, abs(x - y) > 0 AS diverges FROM v WHERE x IS NOT NULL AND y IS NOT NULL""",

@@ -5,65 +5,117 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallymill.functions import stats
 from tallymill.operators import dedup
+from tallymill.session import cut
 
 
-def ingest_once(stream: DataFrame, target: str, checkpoint: str):
-    """Starts a query that appends each record of stream to the Parquet table at target once, however often and in whichever batches it
-    is delivered. A batch that is run again finds its records stored and adds none."""
+#: Parts that the keys of stored records are kept in, by hash.
+KEY_PARTS = 64
 
-    def store(batch: DataFrame, _: int) -> None:
+
+def _start(writer, now: bool):
+    return (writer.trigger(availableNow=True) if now else writer).start()
+
+
+def ingest_once(stream: DataFrame, target: str, checkpoint: str, availableNow: bool = False):
+    """Starts a query that appends each record of stream to the table at target once, however often and in whichever batches it
+    is delivered; read it with ingested.
+
+    Beside the rows lie the 16-byte digests of their identities, by hash parts: a batch reads the digests of the parts it has
+    records of, never the rows. A batch writes folders of its own number, so one that runs again overwrites what it left half done.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = dedup.exactly_once(batch)
+        known = [c.isNotNull() for c in dedup.identity(batch)]
+        whole = known[0] & known[1] & known[2] & known[3]
+        digest = F.when(whole, F.unhex(F.md5(F.concat_ws("\u0000", *dedup.identity(batch)))))
+        once = cut(dedup.exactly_once(batch).withColumn("digest", digest).withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(KEY_PARTS)).cast("int")))
         try:
-            stored = spark.read.schema(batch.schema).parquet(target)
-            fresh = dedup.accept_batch(stored, batch)
-        except Exception as error:  # the table doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
+            stored = spark.read.schema("digest BINARY, batch BIGINT, part INT").parquet(f"{target}/keys").where(F.col("batch") < number)
+            parts = [r["part"] for r in once.select("part").distinct().collect()]  # KEY_PARTS at most
+            fresh = once.join(stored.where(F.col("part").isin(parts)).select("part", "digest"), ["part", "digest"], "left_anti")
+        except AnalysisException as error:  # nothing is stored before the first batch
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-        fresh.write.mode("append").parquet(target)
+            fresh = once
+        fresh = cut(fresh)
+        fresh.drop("digest", "part").write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+        fresh.where("digest IS NOT NULL").select("digest", "part").write.mode("overwrite").partitionBy("part").parquet(f"{target}/keys/batch={number}")
+
+    return _start(stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), availableNow)
 
-    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).start()
 
+def ingested(spark: SparkSession, target: str) -> DataFrame:
+    """The records that ingest_once has stored."""
+    return spark.read.parquet(f"{target}/rows").drop("batch")
 
-def running_evidence(runs: DataFrame, p0: float = 0.90, p1: float = 0.97) -> DataFrame:
-    """Per puzzle and model, the e-value over the runs so far, for update mode: valid whenever it is read."""
-    sums = runs.groupBy("puzzle_id", "model_id").agg(F.sum(stats.log_e(F.col("successes"), F.col("n"), p0, p1)).alias("log_e"), F.count("*").alias("runs"))
+
+def running_evidence(runs: DataFrame, p0: float = 0.90, p1: float = 0.97, late: str | None = None) -> DataFrame:
+    """Per puzzle and model, the e-value over the runs so far, for update or complete mode: valid whenever it is read.
+
+    A run delivered again doesn't count again. With `late`, a watermark on ingested_at, identities are forgotten after that time, which bounds the state;
+    without it they are kept.
+    """
+    names = [f"identity_{i}" for i in range(len(dedup.IDENTITY))]
+    keyed = runs.withColumns(dict(zip(names, dedup.identity(runs))))
+    once = keyed.withWatermark("ingested_at", late).dropDuplicatesWithinWatermark(names) if late else keyed.dropDuplicates(names)
+    sums = once.groupBy("puzzle_id", "model_id").agg(F.sum(stats.log_e(F.col("successes"), F.col("n"), p0, p1)).alias("log_e"), F.count("*").alias("runs"))
     return sums.withColumn("e_value", stats.guarded_exp(F.col("log_e")))
 
 
+def latest(rows: DataFrame, target: str, checkpoint: str, availableNow: bool = False):
+    """Starts a query that keeps the whole result of an aggregation in the table at target, written anew after each batch."""
+    store = lambda batch, _: batch.write.mode("overwrite").parquet(target)
+    return _start(rows.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint), availableNow)
+
+
 def counted(events: DataFrame, every: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Events per kind and window of event time; events later than `late` are left out of windows that are closed."""
     return events.where("ts IS NOT NULL").withWatermark("ts", late).groupBy(F.window("ts", every), "kind").agg(F.count("*").alias("n"))
 
 
-def running_runs(calls: DataFrame) -> DataFrame:
-    """(attempt_id, first_seq, last_seq, n): runs of equal consecutive signatures of calls(attempt_id, seq, signature), in update mode: a run is
-    emitted again as it grows. State per attempt is its open run only. Order within an attempt is by seq within a batch; calls older than the
-    open run's last are left out."""
+def running_runs(calls: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """(attempt_id, first_seq, last_seq, n, late): runs of equal consecutive signatures of calls(attempt_id, seq, signature), in update mode: a run is
+    emitted again as it grows. State per attempt is its open run only, and is dropped when the attempt has been idle for idle_ms, where given (such a query runs until it is stopped). Order within an
+    attempt is by seq within a batch; calls older than the open run's last can't be placed any more and are counted as late."""
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).drop_duplicates("seq").sort_values("seq")
-        signature, first, last, n = state.get if state.exists else (None, None, None, 0)
-        out: dict[int, tuple] = {}
-        for seq, s in zip(rows["seq"].tolist(), rows["signature"].tolist()):
-            if last is not None and seq <= last:
-                continue
-            if n and s == signature:
-                last, n = seq, n + 1
-            else:
-                signature, first, last, n = s, seq, seq, 1
-            out[first] = (key[0], first, last, n)
-        if n:
-            state.update((signature, first, last, n))
-        yield pd.DataFrame(list(out.values()), columns=["attempt_id", "first_seq", "last_seq", "n"])
+        signature, first, last, n, late = state.get if state.exists else (None, None, None, 0, 0)
+        old = rows["seq"] <= last if last is not None else rows["seq"] != rows["seq"]
+        late, rows = late + int(old.sum()), rows[~old]
+        if len(rows):
+            signatures = rows["signature"]
+            before = signatures.shift(1)
+            before.iloc[0] = signature if n else None
+            run = (signatures != before).cumsum()
+            runs = rows.groupby(run).agg(first_seq=("seq", "min"), last_seq=("seq", "max"), n=("seq", "size"), signature=("signature", "first"))
+            if runs.index[0] == 0:  # the open run goes on
+                runs.loc[0, ["first_seq", "n"]] = [first, runs.loc[0, "n"] + n]
+            signature, first, last, n = (int(runs.iloc[-1][c]) for c in ("signature", "first_seq", "last_seq", "n"))
+        else:
+            runs = pd.DataFrame([(first, last, n)], columns=["first_seq", "last_seq", "n"])
+        state.update((signature, first, last, n, late))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield runs.assign(attempt_id=key[0], late=late)[["attempt_id", "first_seq", "last_seq", "n", "late"]].astype({"first_seq": "int64", "last_seq": "int64", "n": "int64"})
 
     return calls.groupBy("attempt_id").applyInPandasWithState(
-        step, "attempt_id STRING, first_seq BIGINT, last_seq BIGINT, n BIGINT", "signature BIGINT, first BIGINT, last BIGINT, n BIGINT",
-        "update", GroupStateTimeout.NoTimeout,
+        step, "attempt_id STRING, first_seq BIGINT, last_seq BIGINT, n BIGINT, late BIGINT", "signature BIGINT, first BIGINT, last BIGINT, n BIGINT, late BIGINT",
+        "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout,
     )
+
+
+def spent(queries: DataFrame, budget: int, owner: str = "owner") -> DataFrame:
+    """(owner, spent, allowed) of a stream of queries, in update mode: how many an owner has made, and whether a further one is within the budget."""
+    return queries.groupBy(owner).agg(F.count("*").alias("spent")).withColumn("allowed", F.col("spent") < budget)

@@ -1,3 +1,4 @@
+import datetime
 import json
 import os
 
@@ -104,19 +105,38 @@ def test_stream_stores_each_record_once(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
         _drain(streams.ingest_once(stream, f"{tmp_path}/out", f"{tmp_path}/cp"))
-    assert sorted(r.seq for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 4]
+    assert sorted(r.seq for r in streams.ingested(spark, f"{tmp_path}/out").collect()) == [1, 4]
 
 
 def test_running_statistics(spark, tmp_path):
-    spark.createDataFrame([("p", "m", 20, 20), ("p", "m", 20, 20)], "puzzle_id STRING, model_id STRING, successes INT, n INT").write.parquet(f"{tmp_path}/runs")
-    stream = spark.readStream.schema("puzzle_id STRING, model_id STRING, successes INT, n INT").parquet(f"{tmp_path}/runs")
-    _drain(streams.running_evidence(stream).writeStream.outputMode("update").format("memory").queryName("evidence").start())
-    assert spark.table("evidence").orderBy(F.desc("runs")).first().e_value == pytest.approx(20.006402, abs=1e-5)
+    schema = "puzzle_id STRING, model_id STRING, successes INT, n INT, puzzle_content_hash STRING, started_at STRING, nonce STRING, ingested_at TIMESTAMP"
+    when = datetime.datetime(2025, 1, 1)
+    spark.createDataFrame([("p", "m", 20, 20, "h", "t", x, when) for x in ("a", "b", "A ")], schema).write.parquet(f"{tmp_path}/runs")
+    for late, name in ((None, "evidence"), ("1 day", "bounded")):
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/runs")
+        _drain(streams.running_evidence(stream, late=late).writeStream.outputMode("update").format("memory").queryName(name).start())
+        assert spark.table(name).orderBy(F.desc("runs")).first().e_value == pytest.approx(20.006402, abs=1e-5)
     calls = "attempt_id STRING, seq BIGINT, signature BIGINT"
-    spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 4, 5), ("a", 5, 6), ("a", 5, 6)], calls).coalesce(1).write.parquet(f"{tmp_path}/calls")
+    put = lambda rows: spark.createDataFrame(rows, calls).coalesce(1).write.mode("append").parquet(f"{tmp_path}/calls")
+    put([("a", 1, 5), ("a", 2, 5), ("a", 4, 5), ("a", 5, 6), ("a", 5, 6)])
     stream = spark.readStream.schema(calls).parquet(f"{tmp_path}/calls")
-    _drain(streams.running_runs(stream).writeStream.outputMode("update").format("memory").queryName("runs").start())
-    assert {tuple(r) for r in spark.table("runs").collect()} == {("a", 1, 4, 3), ("a", 5, 5, 1)}
+    got = []
+
+    def drained():
+        writer = streams.running_runs(stream).writeStream.outputMode("update").foreachBatch(lambda batch, _: got.extend(tuple(r) for r in batch.collect()))
+        writer.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(60)
+        out = set(got)
+        got.clear()
+        return out
+
+    assert drained() == {("a", 1, 4, 3, 0), ("a", 5, 5, 1, 0)}
+    put([("a", 7, 6), ("a", 3, 5), ("a", 8, 9), ("b", 1, 1)])
+    assert drained() == {("a", 5, 7, 2, 1), ("a", 8, 8, 1, 1), ("b", 1, 1, 1, 0)}
+    put([("a", 2, 9)])
+    assert drained() == {("a", 8, 8, 1, 2)}
+    stream = spark.readStream.schema(calls).parquet(f"{tmp_path}/calls")
+    _drain(streams.spent(stream, 2, "attempt_id").writeStream.outputMode("complete").format("memory").queryName("spent").start())
+    assert dict(spark.table("spent").select("attempt_id", "allowed").collect()) == {"a": False, "b": True}
     spark.sql("SELECT TIMESTAMP '2025-01-01 00:00:00' AS ts, 'k' AS kind").write.parquet(f"{tmp_path}/ev")
     stream = spark.readStream.schema("ts TIMESTAMP, kind STRING").parquet(f"{tmp_path}/ev")
     _drain(streams.counted(stream).writeStream.outputMode("update").format("memory").queryName("counts").start())
