@@ -36,6 +36,8 @@ SCRIPTS = (
     ("ru", re.compile(r"[Ѐ-ӿ]")),
     ("el", re.compile(r"[Ͱ-Ͽ]")),
 )
+#: Any letter of the other scripts.
+_OTHER = re.compile("[" + "".join(p.pattern[1:-1] for _, p in SCRIPTS) + "]")
 LATIN_LANGUAGES = tuple(FUNCTION_WORDS)
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _OF_WORD: dict[str, tuple[int, ...]] = {}
@@ -47,24 +49,25 @@ _NAMED = {name: code for code, names in NAMES.items() for name in names.split()}
 _ASKED = re.compile(r"\b(?:in|en|auf|em)\s+(" + "|".join(sorted(_NAMED, key=len, reverse=True)) + r")\b", re.I)
 
 
-def scores(text: str) -> tuple[dict[str, float], int]:
-    """(share of the text's words or letters that speak for each language, number of words)."""
-    found = _WORD.findall(text.lower())
+def scores(text: str, found: list[str] | None = None) -> tuple[dict[str, float], int]:
+    """(share of the text's words or letters that speak for each language, number of words); found: the text's words in lower case, if known."""
+    if found is None:
+        found = _WORD.findall(text.lower())
     out: dict[str, float] = {}
     if not text.isascii():
         letters = max(1, sum(map(len, found)))
-        for code, pattern in SCRIPTS:
-            n = len(pattern.findall(text))
-            if n:
-                out[code] = min(1.0, n / letters)
-        if "ja" in out and "zh" in out:
-            out["ja"] = min(1.0, out["ja"] + out.pop("zh"))
+        if _OTHER.search(text):
+            for code, pattern in SCRIPTS:
+                n = len(pattern.findall(text))
+                if n:
+                    out[code] = min(1.0, n / letters)
+            if "ja" in out and "zh" in out:
+                out["ja"] = min(1.0, out["ja"] + out.pop("zh"))
     counts = [0.0] * len(LATIN_LANGUAGES)
-    for w in found:
-        of = _OF_WORD.get(w)
-        if of:
-            for i in of:
-                counts[i] += 1.0 / len(of)
+    for of in filter(None, map(_OF_WORD.get, found)):
+        share = 1.0 / len(of)
+        for i in of:
+            counts[i] += share
     n = max(1, len(found))
     for i, c in enumerate(counts):
         if c:

@@ -1,22 +1,26 @@
 """Broken prompt and response pairs: each defective pair with its type of defect.
 
 Method: a response is split into clauses, a linear-chain conditional random field tags each clause as
-answer, refusal, echo, foreign or unfinished, and the share of text that each tag covers decides the pair's defect.
+answer, refusal, echo, foreign, unfinished, or as nothing said, and the share of text that each tag covers decides the pair's defect. No
+rule stands beside the field: what is known of a clause enters as a feature, whose weight is learned.
 
 No labels come with the data, so the field is trained on sequences whose tags are known by
 construction, made from a bounded sample of rows (TRAIN_ROWS): complete responses in the asked
 language (answer); prompts or their parts given back (echo); responses to prompts of another language, or in
-another script (foreign); complete responses cut short (unfinished). Refusals are short responses that end properly, hold
-no choice, name none of the persons, repeat nothing of the prompt and were marked as unparsed; their wording is learned together with cue words of six languages. parsed and err are known to mislead and take no part in tagging.
+another script (foreign); complete responses cut short (unfinished); layout, empty structures and words for nothing, put together by
+rule (nothing). Refusals are short responses that end properly, hold
+no choice, name none of the persons, repeat nothing of the prompt and were marked as unparsed; their wording is learned. parsed and err are known to
+mislead and take no part in tagging.
 
-Defined results: rows with result DROPPED and null pair ids give no rows; a null or empty raw, or one
-that holds only layout, brackets, an empty structure or a word for "nothing", is 'empty'; with a null
+Defined results: rows with result DROPPED and null pair ids give no rows; a null or blank raw, or one
+of which all clauses say nothing, is 'empty'; with a null
 prompt neither echo nor language can be told; a repeated pair_id gives the smallest defect name; one defect a pair, in
 the order empty, echo, refusal, truncated, language; whole texts are used, however long; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -30,38 +34,26 @@ from pyspark.sql import functions as F
 from tallymill.llm.crf import Crf
 from tallymill.llm.language import LATIN_LANGUAGES, asked_language, detect, scores
 
-TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
-ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(len(TAGS))
-#: Rows sampled for training, by hash of pair_id; more rows in the table don't make the driver read more.
+TAGS = ("answer", "refusal", "echo", "foreign", "unfinished", "nothing")
+ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED, NOTHING = range(len(TAGS))
+#: Rows sampled for training, by hash of pair_id, of those whose texts have at most TRAIN_CHARS characters; more rows in the table don't make
+#: the driver read more. All rows and whole texts are tagged.
 TRAIN_ROWS = 3000
-#: Longest text of a sampled row that is used for training only.
 TRAIN_CHARS = 4000
-#: Longer sequences of clauses are left out of training.
-TRAIN_CLAUSES = 24
-HASHED = 256
+HASHED = 1024
+#: Sequences a step of training looks at, and steps.
+BATCH, STEPS = 256, 360
 #: Refusals are rare among the sampled rows: each counts so many times.
 REFUSAL_COPIES = 6
 #: Words beside the repeated prompt that add nothing of substance, at most.
 ECHO_WORDS = 8
 
-#: Cue words of refusals, by language.
-CUES = re.compile(
-    r"\b(can't|cannot|can not|can’t|won't|won’t|unable|decline|rather not|prefer not|not to respond|will come from me|not able|not comfortable|comfortable answering|"
-    r"appropriate|my place|guidelines|instructions|rules i|policy|policies|human reviewer|qualified|take sides|take part|pick a side|"
-    r"pass on|unanswered|no verdict|outside what|language system|language model|something i can|no verdict|usage policy|permitted to|harm someone|assist|comply|help with|apologi[sz]e|choose between|"
-    r"leave this|leave to|consult|"
-    r"no puedo|lo siento|prefiero no|no me es posible|queda fuera|no debo|no voy a|lamento|"
-    r"kann ich nicht|tut mir leid|möchte ich|nicht äußern|lieber nicht|leider|darf ich nicht|außerhalb|"
-    r"não posso|desculpe|prefiro não|lamento|fora do que|não vou|não devo|não me é|"
-    r"désolé|je ne peux pas|je préfère|ne pas me prononcer|au-delà|je refuse|je ne suis pas en mesure|dépasse|"
-    r"non posso|mi dispiace|preferisco non|non pronunciarmi|spiacente|fuori da|non intendo|esula)\b",
-    re.I,
-)
-#: Words that introduce a choice, and words for "nothing".
+#: Words that introduce a choice.
 CHOICE_WORDS = r"answer|choice|choose|verdict|final answer|option|respuesta|elijo|opción|antwort|wähle|resposta|escolho|réponse|choisis|risposta|scelgo|winner"
-NOTHING = re.compile(
-    rf"</?[a-z_]+>|```[a-z]*|\b(?:n/?a|null|none|nil|nan|undefined|empty|no answer|no response)\b|\b(?:{CHOICE_WORDS}|output|response)\s*[:=]", re.I
-)
+#: Words for nothing, and what stands around an answer or nothing.
+NO_WORDS = "n/a na none null nil nan undefined empty no answer response output".split()
+FRAMES = ("{}", "`{}`", '"{}"', "<answer>{}</answer>", "Answer: {}", "Response: {}", '{{"answer": "{}"}}', '{{"answer": {}}}', "```\n{}\n```", "```json\n{}\n```", "({})", "**{}**", "[{}]", "{}.")
+EMPTIES = ("", "N/A", "null", "None", "nil", "NaN", "undefined", "empty", "no answer", "no response", "n/a", "...", "-", "{}", "[]", "null\nnull", "[null]")
 THINK = re.compile(r"<(think|thinking|reasoning|scratchpad)>.*?</\1>", re.S | re.I)
 _LETTER = r"[\[(\"'*_`]*\b[AB]\b[\])\"'*_`.]*"
 _CHOICE = re.compile(
@@ -82,18 +74,10 @@ def _without_thoughts(raw: str) -> str:
     return THINK.sub(" ", text) if "</" in text else text
 
 
-def substance(raw: str | None) -> str:
-    """What a response says, without layout, empty structures and words for nothing."""
-    if raw is None:
-        return ""
-    text = _without_thoughts(raw)
-    return "".join(c for c in NOTHING.sub(" ", text) if c.isalnum())
-
-
 def clauses(raw: str) -> list[str]:
-    """The clauses of a response in order; each keeps its end mark."""
-    text = _without_thoughts(raw)
-    return [c.strip() for c in _SPLIT.split(text) if c and any(x.isalnum() for x in c)]
+    """The clauses of a response in order; each keeps its end mark. Pieces without letters and digits count only where there is nothing else."""
+    pieces = [c.strip() for c in _SPLIT.split(_without_thoughts(raw)) if c and not c.isspace()]
+    return [c for c in pieces if any(x.isalnum() for x in c)] or pieces
 
 
 def unclosed(raw: str) -> bool:
@@ -120,47 +104,70 @@ def _ended(clause: str) -> bool:
     return False
 
 
-def _grams(text: str, n: int = 3) -> list[tuple[str, ...]]:
-    words = _TOKEN.findall(text.lower())
-    return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)] or ([tuple(words)] if words else [])
+_NO_WORDS = frozenset(NO_WORDS) | frozenset("a json text xml final think thinking choice".split())
+
 
+@functools.lru_cache(maxsize=300_000)
+def _hash(word: str) -> int:
+    return xxhash.xxh32_intdigest(word.encode("utf-8", "replace"))
 
-N_DENSE = 23
 
+class Prompt:
+    """What a response's clauses are compared with."""
 
-def features(prompt: str | None, raw: str) -> tuple[list[str], np.ndarray, list[list[int]]]:
-    """(clauses, dense features of each, hashed words of each)."""
+    def __init__(self, prompt: str | None):
+        text = prompt or ""
+        words = _TOKEN.findall(text.lower())
+        self.known = set(words)
+        self.twos, self.threes = set(zip(words, words[1:])), set(zip(words, words[1:], words[2:]))
+        self.flat = f" {' '.join(words)} "
+        self.names = {w.lower() for w in re.findall(r"\b[A-Z][a-z]{3,}\b", text)}
+        self.asked = asked_language(text) if text else None
+
+
+N_DENSE = 25
+#: The feature that says that a clause stands in the prompt word for word.
+WHOLE = 3
+
+
+def features(prompt: str | Prompt | None, raw: str) -> Iterator[tuple[str, list[float], list[int]]]:
+    """(clause, dense features, hashed words) of each clause of a response."""
     parts = clauses(raw)
-    prompt = prompt or ""
-    seen, seen_two = set(_grams(prompt)), set(_grams(prompt, 2))
-    known = set(_TOKEN.findall(prompt.lower()))
-    flat_prompt = " ".join(_TOKEN.findall(prompt.lower()))
-    asked = asked_language(prompt) if prompt else None
+    ask = prompt if isinstance(prompt, Prompt) else Prompt(prompt)
+    names, asked, latin = ask.names, ask.asked, ask.asked in LATIN_LANGUAGES
+    is_known, is_two, is_three = ask.known.__contains__, ask.twos.__contains__, ask.threes.__contains__
     broken = unclosed(raw)
-    dense, hashed = np.zeros((len(parts), N_DENSE)), []
-    names = {w.lower() for w in re.findall(r"\b[A-Z][a-z]{3,}\b", prompt)}
     for i, part in enumerate(parts):
-        words = _TOKEN.findall(part.lower())
-        grams = _grams(part)
-        bare = " ".join(_TOKEN.findall(_SAID.sub("", part).lower()))
-        inside = sum(g in seen for g in grams) / max(1, len(grams))
-        pairs = _grams(part, 2)
-        two = sum(g in seen_two for g in pairs) / max(1, len(pairs))
-        by, n = scores(part)
-        script = bool(asked) and asked in LATIN_LANGUAGES and any(k not in LATIN_LANGUAGES for k in by)
+        low = part.lower()
+        words = _TOKEN.findall(low)
+        n_words = len(words)
+        said = " ".join(words)
+        within = f" {said} " in ask.flat
+        inside = sum(map(is_three, zip(words, words[1:], words[2:]))) / (n_words - 2) if n_words > 2 else float(n_words > 0 and within)
+        two = sum(map(is_two, zip(words, words[1:]))) / (n_words - 1) if n_words > 1 else 0.0
+        by, n = scores(part, [w for w in words if w.isalpha()])
+        script = latin and any(k not in LATIN_LANGUAGES for k in by)
         own = by.get(asked, 0.0) if asked else 0.0
         rest = max([v for k, v in by.items() if k != asked], default=0.0) if asked else 0.0
         last = i == len(parts) - 1
-        ended = _ended(part) or (len(parts) == 1 and len(words) <= 2)
-        cues = len(CUES.findall(part))
+        ended = _ended(part) or (len(parts) == 1 and n_words <= 2)
         choice = bool(_CHOICE.search(part))
-        quoted = part[:1] in "\"'“«>" or "“" in part or "«" in part
-        dense[i] = (
+        whole = n_words >= 3 and within
+        if n_words >= 3 and not whole and (spoken := _SAID.match(low)):
+            bare = " ".join(_TOKEN.findall(low[spoken.end() :]))
+            whole = bool(bare) and f" {bare} " in ask.flat
+        empty_words = sum(map(_NO_WORDS.__contains__, words))
+        named = names.intersection(words)
+        ids = ["#" if w.isdigit() else w for w in words]
+        if named:
+            ids = ["@" if w in named else w for w in ids]
+        ids = list(map(_hash, ids))
+        yield part, [
             1.0,
             inside,
-            inside > 0.8 and len(words) >= 4,
-            len(words) >= 3 and bool(bare) and bare in flat_prompt,
-            quoted,
+            inside > 0.8 and n_words >= 4,
+            whole,
+            part[:1] in "\"'“«>" or "“" in part or "«" in part,
             min(3.0, 6 * max(0.0, rest - own)) if n >= 3 or script else 0.0,
             min(3.0, 6 * max(0.0, own - rest)) if n >= 3 else 0.0,
             script,
@@ -169,30 +176,27 @@ def features(prompt: str | None, raw: str) -> tuple[list[str], np.ndarray, list[
             last and not ended,
             last and broken,
             last and ended,
-            min(2, cues),
-            cues > 0 and not choice,
             choice,
-            len(words) <= 2,
-            min(1.0, len(words) / 30),
-            any(w in names for w in words),
+            n_words <= 2,
+            min(1.0, n_words / 30),
+            bool(named),
             i == 0,
-            sum(w in known for w in words) / max(1, len(words)),
+            sum(map(is_known, words)) / max(1, n_words),
             two,
-            two > 0.6 and len(words) >= 4,
-        )
-        plain = ["#" if w.isdigit() else "@" if w in names else w for w in words[:60]]
-        both = plain + [f"{a} {b}" for a, b in zip(plain, plain[1:])]
-        hashed.append(sorted({xxhash.xxh32_intdigest(w.encode()) % HASHED for w in both}))
-    return parts, dense, hashed
+            two > 0.6 and n_words >= 4,
+            not words,
+            empty_words == n_words,
+            empty_words == n_words and not choice,
+            whole and not choice,
+        ], list({h % HASHED for h in ids}.union([(x * 31 + y) % HASHED for x, y in zip(ids, ids[1:])]))
 
 
-def _matrix(dense: list[np.ndarray], hashed: list[list[int]]) -> np.ndarray:
-    X = np.zeros((sum(map(len, dense)), N_DENSE + HASHED), dtype=np.float32)
+def _matrix(dense: list[list[float]], hashed: list[list[int]]) -> np.ndarray:
+    X = np.zeros((len(dense), N_DENSE + HASHED), dtype=np.float32)
     if len(X):
-        X[:, :N_DENSE] = np.concatenate([d for d in dense if len(d)])
+        X[:, :N_DENSE] = dense
         rows = np.repeat(np.arange(len(hashed)), [len(h) for h in hashed])
-        cols = np.fromiter((N_DENSE + h for hs in hashed for h in hs), dtype=np.int64, count=len(rows))
-        X[rows, cols] = 0.5
+        X[rows, np.fromiter((N_DENSE + h for hs in hashed for h in hs), dtype=np.int64, count=len(rows))] = 0.5
     return X
 
 
@@ -208,36 +212,52 @@ def _sound(prompt: str, raw: str) -> bool:
 def training_set(rows: list[tuple], seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, tags, lengths) of sequences with known tags, made of rows (prompt, raw, result)."""
     rng = np.random.default_rng(seed)
-    sequences: list[tuple[np.ndarray, list[list[int]], list[int]]] = []
-
-    def add(prompt, raw, tag, last=None):
-        parts, dense, hashed = features(prompt, raw)
-        if 0 < len(parts) <= TRAIN_CLAUSES:
-            tags = [tag] * len(parts)
+    dense: list[list[float]] = []
+    hashed: list[list[int]] = []
+    tags: list[int] = []
+    lengths: list[int] = []
+
+    def add(prompt, raw, tag, last=None, n_first=0, first=ECHO):
+        made = list(features(prompt, raw))
+        if made:
+            of = [first] * min(n_first, len(made)) + [tag] * max(0, len(made) - n_first)
+            # what an answer quotes of its prompt is given back like an echo; the verdict tells the two apart
+            of = [ECHO if t == ANSWER and m[1][WHOLE] and len(_TOKEN.findall(m[0])) >= 4 else t for t, m in zip(of, made)]
             if last is not None:
-                tags[-1] = last
-            sequences.append((dense, hashed, tags))
+                of[-1] = last
+            dense.extend(m[1] for m in made)
+            hashed.extend(m[2] for m in made)
+            tags.extend(of)
+            lengths.append(len(made))
 
-    rows = [(p, r[:TRAIN_CHARS], s) for p, r, s in rows if p and r and substance(r)]
+    rows = [(p, r, s) for p, r, s in rows if p and r and r.strip()]
     sound = [(p, r) for p, r, _ in rows if _sound(p, r)]
     by_language: dict[str, list[str]] = {}
     for p, _ in sound:
         by_language.setdefault(asked_language(p) or "", []).append(p)
     for p, r in sound:
         add(p, r, ANSWER)
+        if r.lstrip()[:1] in "{[`<" and len(r) > 40:
+            short = r[: int(rng.integers(20, len(r) - 1))].rstrip()
+            if unclosed(short):
+                add(p, short, ANSWER, UNFINISHED)
         draw = rng.random()
         if draw < 0.25:
             parts = clauses(r)
             if len(parts[-1]) > 8 or len(parts) > 1:
                 cut = int(rng.integers(max(1, len(r) // 5), max(2, len(r) - 1)))
                 short = r[:cut].rstrip()
-                if clauses(short) and not _ended(clauses(short)[-1]):
+                if clauses(short) and (unclosed(short) or not _ended(clauses(short)[-1])):
                     add(p, short, ANSWER, UNFINISHED)
         elif draw < 0.45:
             others = [k for k in by_language if k and k != (detect(r) or "")]
             if others and len(_TOKEN.findall(r)) > 5:
                 q = by_language[others[int(rng.integers(len(others)))]]
-                add(q[int(rng.integers(len(q)))], r, FOREIGN)
+                of = q[int(rng.integers(len(q)))]
+                add(of, r, FOREIGN)
+                short = r[: int(rng.integers(max(1, len(r) // 3), len(r)))].rstrip()
+                if rng.random() < 0.25 and clauses(short) and (unclosed(short) or not _ended(clauses(short)[-1])):
+                    add(of, short, FOREIGN, UNFINISHED)
         elif draw < 0.65:
             parts = clauses(p)
             lo = int(rng.integers(len(parts))) if rng.random() < 0.5 else 0
@@ -253,10 +273,13 @@ def training_set(rows: list[tuple], seed: int = 11) -> tuple[np.ndarray, np.ndar
             if len(_TOKEN.findall(given)) >= 4:
                 add(p, ("User said – " if rng.random() < 0.3 else mark.strip("\n")) + given, ECHO)
                 if rng.random() < 0.3:
-                    _, d1, h1 = features(p, given + "\n" + r)
-                    n = len(clauses(given))
-                    if n < len(d1) <= TRAIN_CLAUSES:
-                        sequences.append((d1, h1, [ECHO] * n + [ANSWER] * (len(d1) - n)))
+                    add(p, given + "\n" + r, ANSWER, n_first=len(clauses(given)))
+        elif draw < 0.75:
+            frame, said = FRAMES[int(rng.integers(len(FRAMES)))], EMPTIES[int(rng.integers(len(EMPTIES)))]
+            nothing = frame.format(said)
+            add(p, nothing.upper() if rng.random() < 0.2 else nothing.lower() if rng.random() < 0.3 else nothing, NOTHING)
+            if rng.random() < 0.3:
+                add(p, nothing + "\n" + r, ANSWER, n_first=len(clauses(nothing)), first=NOTHING)
     for p, r, result in rows:
         parts, asked = clauses(r), asked_language(p)
         by, _ = scores(r)
@@ -265,21 +288,20 @@ def training_set(rows: list[tuple], seed: int = 11) -> tuple[np.ndarray, np.ndar
             continue
         if result != "UNPARSED" or not 0 < len(parts) <= 3 or _CHOICE.search(r) or unclosed(r) or not _ended(parts[-1]):
             continue
-        seen, names = set(_grams(p)), set(re.findall(r"\b[A-Z][a-z]{3,}\b", p))
-        inside = np.mean([g in seen for g in _grams(r)] or [1])
-        if inside < 0.3 and len(_TOKEN.findall(r)) >= 4 and not any(n in r for n in names):
+        ask = Prompt(p)
+        words = _TOKEN.findall(r.lower())
+        inside = np.mean([g in ask.threes for g in zip(words, words[1:], words[2:])] or [1])
+        if inside < 0.3 and len(words) >= 4 and not ask.names & set(words):
             for _ in range(REFUSAL_COPIES):
                 add(p, r, REFUSAL)
-    X = _matrix([s[0] for s in sequences], [h for s in sequences for h in s[1]])
-    tags = np.array([t for s in sequences for t in s[2]], dtype=np.int64)
-    return X, tags, np.array([len(s[2]) for s in sequences], dtype=np.int64)
+    return _matrix(dense, hashed), np.array(tags, dtype=np.int64), np.array(lengths, dtype=np.int64)
 
 
-def train(pairs: DataFrame, n_rows: int = TRAIN_ROWS, rounds: int = 120) -> Crf:
+def train(pairs: DataFrame, n_rows: int = TRAIN_ROWS, steps: int = STEPS) -> Crf:
     """The field, from at most n_rows rows picked by the hash of their pair_id."""
     picked = (
-        pairs.where("raw IS NOT NULL AND prompt IS NOT NULL AND result IS DISTINCT FROM 'DROPPED'")
-        .select("pair_id", "prompt", F.substring("raw", 1, TRAIN_CHARS).alias("raw"), "result")
+        pairs.where(f"length(raw) <= {TRAIN_CHARS} AND length(prompt) <= {TRAIN_CHARS} AND result IS DISTINCT FROM 'DROPPED'")
+        .select("pair_id", "prompt", "raw", "result")
         .orderBy(F.xxhash64("pair_id"), "prompt", "raw")
         .limit(n_rows)
         .collect()
@@ -287,29 +309,24 @@ def train(pairs: DataFrame, n_rows: int = TRAIN_ROWS, rounds: int = 120) -> Crf:
     X, tags, lengths = training_set([(r.prompt, r.raw, r.result) for r in picked])
     field = Crf(N_DENSE + HASHED, len(TAGS))
     if len(X):
-        field.fit(X, tags, lengths, rounds)
+        field.fit(X, tags, lengths, -(-steps // -(-len(lengths) // BATCH)), batch=BATCH)
     return field
 
 
-def verdict(prompt: str | None, raw: str | None, parts: list[str], tags: np.ndarray) -> str | None:
+def verdict(parts: list[str], tags: np.ndarray) -> str | None:
     """The defect that the tags' coverage of a response amounts to, or None."""
-    if not substance(raw):
+    said = tags != NOTHING
+    if not len(parts) or not said.any():
         return "empty"
-    size = np.array([len(p) for p in parts], dtype=float)
-    if not len(parts):
-        return "truncated" if unclosed(raw) else None
-    given = f" {' '.join(_TOKEN.findall((prompt or '').lower()))} "
-    said = [" ".join(_TOKEN.findall(p.lower())) for p in parts]
-    # exact check of the tags: a clause of some length that stands in the prompt word for word is given back
-    tags = np.array([ECHO if t == ANSWER and w.count(" ") >= 3 and f" {w} " in given else t for t, w in zip(tags, said)])
+    size = np.array([len(p) for p in parts], dtype=float) * said
     cover = np.bincount(tags, size, len(TAGS)) / size.sum()
-    own = [(p, w) for p, w, t in zip(parts, said, tags) if t == ANSWER and (len(w) <= 2 or f" {w} " not in given)]
-    answered = any(_CHOICE.search(p) for p, _ in own) or cover[ANSWER] > 0.5
-    if cover[ECHO] > 0.5 and not any(_CHOICE.search(p) for p, _ in own) and sum(w.count(" ") + 1 for _, w in own) <= ECHO_WORDS:
+    own = [p for p, t in zip(parts, tags) if t == ANSWER]
+    chosen = any(_CHOICE.search(p) for p in own)
+    if cover[ECHO] > 0.5 and not chosen and sum(len(_TOKEN.findall(p)) for p in own) <= ECHO_WORDS:
         return "echo"
-    if cover[REFUSAL] > 0 and not answered and cover[REFUSAL] >= cover[FOREIGN]:
+    if cover[REFUSAL] > 0 and not (chosen or cover[ANSWER] > 0.5) and cover[REFUSAL] >= cover[FOREIGN]:
         return "refusal"
-    if tags[-1] == UNFINISHED or unclosed(raw):
+    if tags[-1] == UNFINISHED:
         return "truncated"
     if cover[FOREIGN] > 0.5:
         return "language"
@@ -318,35 +335,53 @@ def verdict(prompt: str | None, raw: str | None, parts: list[str], tags: np.ndar
 
 def tagged_defects(field: Crf, ids: list, prompts: list, raws: list) -> list[tuple]:
     """(pair_id, defect) of the defective ones among some pairs."""
-    texts = [None if r is None or pd.isna(r) else r for r in raws]
-    asked = [None if p is None or pd.isna(p) else p for p in prompts]
-    made = [features(p, r) if r else ([], np.zeros((0, N_DENSE)), []) for p, r in zip(asked, texts)]
-    lengths = np.array([len(m[0]) for m in made], dtype=np.int64)
+    dense_W, hashed_W = field.W[:N_DENSE], 0.5 * field.W[N_DENSE:]
+    parts: list[list[str]] = []
+    rows, words = [], []
+    E = []
+
+    def score():
+        if rows:
+            at = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+            flat = np.fromiter((h for w in words for h in w), dtype=np.int64, count=at[-1])
+            sums = np.concatenate([np.zeros((1, len(TAGS))), np.cumsum(hashed_W[flat], axis=0)])
+            E.append(np.array(rows, dtype=float) @ dense_W + sums[at[1:]] - sums[at[:-1]])
+            rows.clear()
+            words.clear()
+
+    for prompt, raw in zip(prompts, raws):
+        text = None if raw is None or pd.isna(raw) else raw
+        mine = []
+        for part, row, hashed in features(None if prompt is None or pd.isna(prompt) else prompt, text) if text else ():
+            mine.append(part)
+            rows.append(row)
+            words.append(hashed)
+            if len(rows) >= 4096:
+                score()
+        parts.append(mine)
+    score()
+    lengths = np.array([len(m) for m in parts], dtype=np.int64)
     some = np.nonzero(lengths)[0]
-    X = _matrix([made[i][1] for i in some], [h for i in some for h in made[i][2]])
-    tags = field.decode(X.astype(np.float64), lengths[some]) if len(some) else np.zeros(0, dtype=np.int64)
+    tags = field.decode(np.concatenate(E), lengths[some]) if len(some) else np.zeros(0, dtype=np.int64)
     at, out = 0, []
-    for i, (pair, raw) in enumerate(zip(ids, texts)):
-        n = lengths[i]
-        defect = verdict(asked[i], raw, made[i][0], tags[at : at + n])
-        at += n
+    for pair, mine in zip(ids, parts):
+        defect = verdict(mine, tags[at : at + len(mine)])
+        at += len(mine)
         if defect:
             out.append((pair, defect))
     return out
 
 
-def defects(pairs: DataFrame, n_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(pair_id, defect) of the defective pairs."""
+def defects(pairs: DataFrame, n_rows: int = TRAIN_ROWS, field: Crf | None = None) -> DataFrame:
+    """(pair_id, defect) of the defective pairs, by a field that is given (Crf.load) or else trained on a sample of these pairs."""
     spark = pairs.sparkSession
-    field = spark.sparkContext.broadcast(train(pairs, n_rows))
+    shared = spark.sparkContext.broadcast(field or train(pairs, n_rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            # pairs of like length together: one very long response doesn't pad the others
-            batch = batch.assign(size=batch["raw"].fillna("").str.len()).sort_values("size")
             for lo in range(0, len(batch), 500):
                 some = batch.iloc[lo : lo + 500]
-                rows = tagged_defects(field.value, some["pair_id"].tolist(), some["prompt"].tolist(), some["raw"].tolist())
+                rows = tagged_defects(shared.value, some["pair_id"].tolist(), some["prompt"].tolist(), some["raw"].tolist())
                 yield pd.DataFrame(rows, columns=["pair_id", "defect"])
 
     rows = pairs.where("pair_id IS NOT NULL AND result IS DISTINCT FROM 'DROPPED'").select("pair_id", "prompt", "raw")

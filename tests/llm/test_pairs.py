@@ -99,3 +99,31 @@ def test_odd_responses(raw):
     field = Crf(pairs.N_DENSE + pairs.HASHED, len(pairs.TAGS))
     assert len(pairs.tagged_defects(field, [1], ["p q r"], [raw])) <= 1
     assert pairs.tagged_defects(field, [1], [raw], ["B."]) in ([], [(1, "language")])
+
+
+def test_decode_needs_no_padding_and_equals_single_sequences():
+    rng = np.random.default_rng(1)
+    field = Crf(3, 4)
+    field.T[:] = rng.normal(size=(4, 4))
+    lengths = np.array([3, 1, 40, 7, 1])
+    E = rng.normal(size=(lengths.sum(), 4))
+    at = np.cumsum(lengths) - lengths
+    alone = np.concatenate([field.decode(E[a : a + n], np.array([n])) for a, n in zip(at, lengths)])
+    assert (field.decode(E, lengths) == alone).all()
+    uneven = np.array([200_000] + [1] * 500)
+    assert len(field.decode(rng.normal(size=(uneven.sum(), 4)), uneven)) == uneven.sum()
+
+
+def test_long_clauses_count_whole():
+    early, late = "word " * 200 + "end", "word " * 200 + "other end"
+    (_, _, a), (_, _, b) = next(pairs.features("p", early)), next(pairs.features("p", late))
+    assert set(a) != set(b)
+
+
+def test_a_saved_field_tags_alike(spark, tmp_path):
+    rows, _ = corpus()
+    df = spark.createDataFrame(rows, SCHEMA)
+    field = pairs.train(df)
+    field.save(str(tmp_path / "field.npz"))
+    again = Crf.load(str(tmp_path / "field.npz"))
+    assert sorted(map(tuple, pairs.defects(df, field=again).collect())) == sorted(map(tuple, pairs.defects(df, field=field).collect()))
