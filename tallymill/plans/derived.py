@@ -17,7 +17,7 @@ from tallymill.plans import reading as RD
 from tallymill.plans import trials as T
 from tallymill.plans.judging import _LAST, _MEASURED, _SCREEN, J, R, rounded
 from tallymill.session import ensure_checkpoint_dir, table
-from tallymill.skew import blocked_lag
+from tallymill.skew import ranged_lag
 from tallymill.sources import chain
 from tallymill.streaming import streams
 
@@ -368,7 +368,7 @@ def _tier_screen(s, d):
 def _broken_links(s, d):
     """A log whose lines state the hash of the number before, and of which a third has another hash than its content gives."""
     rows = T.log(s, d).select("seq", (F.col("successes").isNull() | (F.col("successes") % 3 == 0)).alias("torn"), F.lit(0).alias("log"))
-    before = blocked_lag(rows, "log", "seq", []).select("seq", "torn", F.coalesce(F.sha2(F.concat(F.lit("p"), F.col("prev_seq")), 256), F.lit(chain.GENESIS)).alias("prev_hash"))
+    before = ranged_lag(rows, "log", "seq", []).select("seq", "torn", F.coalesce(F.sha2(F.concat(F.lit("p"), F.col("prev_seq")), 256), F.lit(chain.GENESIS)).alias("prev_hash"))
     payload = F.to_json(F.struct("seq"))
     own = F.when(F.col("torn"), "x").otherwise(F.sha2(F.concat("prev_hash", payload), 256))
     return chain.broken_links(before.select("seq", "prev_hash", payload.alias("payload"), own.alias("hash")))

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallymill.session import cut
 
 #: A key counts as hot from this many rows on.
 HOT_ROWS = 50_000
@@ -56,45 +63,48 @@ def spread_join(
     return spread.drop(flag).join(copies.drop(flag), [*keys, salt], how).drop(salt)
 
 
-def blocked_lag(df: DataFrame, part: str, order: str, values: list[str], block: int = 4096) -> DataFrame:
+def ranged_lag(df: DataFrame, part: str, order: str, values: list[str]) -> DataFrame:
     """df with prev_<v> for each v of values and prev_<order>: those of the row before it in its part.
 
-    (part, order) must be unique and order a non-negative integer. A window over a whole part would
-    put a hot part into one task, so rows are windowed in blocks of order values (at most `block`
-    rows each); only a block's last row travels on, to a window over blocks, itself blocked once
-    more, so that the widest group holds 1/block² of a part's range of order.
+    (part, order) should be unique. Rows are spread over ranges of (part, order) that Spark samples, so they are even however hot a part is and however
+    its order is spaced, and written once. Within a range a row's predecessor is the row before it, one pass over Arrow batches; only each range's
+    last row, one per partition, goes over the driver to the range after it. Rows with null part or order have no predecessor and are none.
     """
+    (pid,) = fresh(df, "pid")
     cols = [order, *values]
-
-    def lagged(rows: DataFrame, key: list[str], by: str) -> DataFrame:
-        w = Window.partitionBy(*key).orderBy(by)
-        return rows.withColumns({f"prev_{c}": F.lag(c).over(w) for c in cols})
-
-    def edges(rows: DataFrame, key: list[str]) -> DataFrame:
-        last = F.max(F.struct(*cols))
-        return rows.groupBy(*key).agg(last.alias("edge")).select(*key, *[F.col(f"edge.{c}").alias(c) for c in cols])
-
-    inner = df.withColumn("blk", F.floor(F.col(order) / block)).withColumn("sup", F.floor(F.col("blk") / block))
-    inside = lagged(inner, [part, "sup", "blk"], order)
-    per_block = edges(inner, [part, "sup", "blk"])
-    per_sup = edges(per_block, [part, "sup"])
-    in_sup = lagged(per_block, [part, "sup"], "blk")
-    over_sup = lagged(per_sup, [part], "sup").select(part, "sup", *[F.col(f"prev_{c}").alias(f"sup_{c}") for c in cols])
-    # a block whose super-block has no earlier block takes the last row of the super-block before
-    before = (
-        in_sup.where(F.col(f"prev_{order}").isNotNull())
-        .select(part, "sup", "blk", *[F.col(f"prev_{c}").alias(f"edge_{c}") for c in cols])
-        .unionByName(
-            in_sup.where(F.col(f"prev_{order}").isNull())
-            .select(part, "sup", "blk")
-            .join(over_sup, [part, "sup"])
-            .select(part, "sup", "blk", *[F.col(f"sup_{c}").alias(f"edge_{c}") for c in cols])
-        )
-    )
-    first = inside.where(F.col(f"prev_{order}").isNull()).drop(*[f"prev_{c}" for c in cols])
-    rest = inside.where(F.col(f"prev_{order}").isNotNull())
-    joined = first.join(before, [part, "sup", "blk"], "left").withColumns({f"prev_{c}": F.col(f"edge_{c}") for c in cols})
-    return rest.unionByName(joined.drop(*[f"edge_{c}" for c in cols])).drop("blk", "sup")
+    placed = df.where(F.col(part).isNotNull() & F.col(order).isNotNull())
+    # an explicit number, so that ranges aren't merged by their size
+    n = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(placed.repartitionByRange(n, part, order).sortWithinPartitions(part, order).withColumn(pid, F.spark_partition_id()))
+    lasts = ranged.groupBy(pid).agg(F.max(F.struct(part, order, *[v for v in values])).alias("last")).orderBy(pid).collect()
+    before, previous = {}, None
+    for row in lasts:
+        before[row[pid]] = previous
+        previous = tuple(row["last"])
+    shared = df.sparkSession.sparkContext.broadcast(before)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    names = df.columns
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"prev_{c}", kinds[c]) for c in cols]])
+
+    def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, first = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if first:
+                row = shared.value.get(batch.column(pid)[0].as_py())
+                carried = [pa.array([x], type=batch.column(c).type) for x, c in zip(row or [None] * (len(cols) + 1), [part, *cols])]
+                first = False
+            head = batch.num_rows - 1
+            moved = [pa.concat_arrays([old.cast(batch.column(c).type), batch.column(c).slice(0, head)]) for old, c in zip(carried, [part, *cols])]
+            same = pc.fill_null(pc.equal(moved[0], batch.column(part)), False)
+            out = [pc.if_else(same, m, pa.nulls(batch.num_rows, m.type)) for m in moved[1:]]
+            carried = [batch.column(c).slice(head, 1) for c in [part, *cols]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *out], [*names, *[f"prev_{c}" for c in cols]])
+
+    lagged = ranged.mapInArrow(shift, schema)
+    rest = df.where(F.col(part).isNull() | F.col(order).isNull()).withColumns({f"prev_{c}": F.lit(None).cast(kinds[c]) for c in cols})
+    return lagged.unionByName(rest)
 
 
 def blocked_number(df: DataFrame, part: str, order: str, name: str = "place", block: int = 4096) -> DataFrame:

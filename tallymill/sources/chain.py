@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.functions.ids import canonical, canonical_json
-from tallymill.skew import blocked_lag
+from tallymill.skew import ranged_lag
 
 GENESIS = "0" * 64
 
@@ -31,7 +31,7 @@ def broken_links(log: DataFrame) -> DataFrame:
     predecessor than the line before. Lines are compared with the one before them in blocks of seq."""
     rows = log.select("seq", F.col("prev_hash").alias("stated"), "hash", canonical_json("payload").alias("payload"), F.lit(0).alias("log"))
     rows = rows.withColumn("own", F.sha2(F.concat("stated", "payload"), 256)).drop("payload")
-    linked = blocked_lag(rows, "log", "seq", ["hash"])
+    linked = ranged_lag(rows, "log", "seq", ["hash"])
     before = F.coalesce("prev_hash", F.lit(GENESIS))
     reason = F.when(~F.col("own").eqNullSafe(F.col("hash")), "content").when(before != F.col("stated"), "link")
     return linked.select("seq", reason.alias("reason")).where("reason IS NOT NULL")

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallymill.operators import catalog, items, judges, labels, trace, trials, votes
-from tallymill.skew import blocked_lag, blocked_number
+from tallymill.skew import blocked_number, ranged_lag
 
 JUDGED = "seq BIGINT, model_id STRING, item_id STRING, predicted INT, gold INT, correct BOOLEAN, confidence DOUBLE, difficulty DOUBLE, position INT, answer_len DOUBLE, judge_family STRING, judged_family STRING"
 
@@ -162,9 +162,9 @@ def test_large_texts_are_kept_once(spark):
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 60)), unique=True, min_size=1, max_size=40), st.integers(1, 5))
-def test_blocks_change_nothing(spark, rows, block):
+def test_blocks_and_ranges_change_nothing(spark, rows, block):
     df = spark.createDataFrame([(p, o, o * 7 % 5) for p, o in rows], "p STRING, o BIGINT, v BIGINT")
-    lagged = {(r.p, r.o): (r.prev_o, r.prev_v) for r in blocked_lag(df, "p", "o", ["v"], block).collect()}
+    lagged = {(r.p, r.o): (r.prev_o, r.prev_v) for r in ranged_lag(df, "p", "o", ["v"]).collect()}
     numbers = {(r.p, r.o): r.place for r in blocked_number(df, "p", "o", block=block).collect()}
     for p in "ab":
         order = sorted(o for q, o in rows if q == p)
@@ -173,6 +173,17 @@ def test_blocks_change_nothing(spark, rows, block):
             assert lagged[p, o] == ((order[i - 1], order[i - 1] * 7 % 5) if i else (None, None))
 
 
+def test_lag_of_a_hot_sparse_sequence_is_spread(spark):
+    hot = spark.range(20_000).select(F.lit("h").alias("p"), (F.col("id") * 1_000_003_000).alias("o"), (F.col("id") % 7).alias("v"))
+    odd = spark.createDataFrame([(None, 1, 1), ("x", None, 2), ("x", 5, 3)], "p STRING, o BIGINT, v BIGINT")
+    lagged = ranged_lag(hot.unionByName(odd), "p", "o", ["v"]).withColumn("task", F.spark_partition_id())
+    got = lagged.where("p = 'h'")
+    assert got.where("prev_o <=> nullif(o - 1000003000, -1000003000) AND (o = 0 OR prev_v = (o / 1000003000 - 1) % 7)").count() == 20_000
+    assert got.groupBy("task").count().agg(F.max("count")).first()[0] < 15_000
+    assert {(r.p, r.o, r.prev_o) for r in lagged.where("p IS NULL OR p = 'x'").collect()} == {(None, 1, None), ("x", None, None), ("x", 5, None)}
+    assert ranged_lag(hot.limit(0), "p", "o", ["v"]).count() == 0
+
+
 AGG = "puzzle_id STRING, own_s BIGINT, own_n BIGINT, cohort_s BIGINT, cohort_n BIGINT"
 
 
