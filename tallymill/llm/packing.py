@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -29,8 +30,10 @@ from tallymill.session import cut
 
 CAPACITY = 2048
 GROUP = 8_000
+#: Bins filled less are opened again while there is more than one group: the higher, the less is left unused and the more is placed twice.
 FULL = 0.995
-ROUNDS = 3
+#: Tasks of a round at most; a task has one group, or a few on end where there are more.
+TASKS = 20_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that parts a text before the merges of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -127,13 +130,24 @@ class Bins:
             self._put(y, item)
 
     def _offers(self, y: int):
-        """What bin y may give: single documents and pairs, largest first."""
-        docs = self.bins[y][::-1]
-        for a in docs:
+        """What bin y may give: single documents and pairs, largest first.
+
+        Documents of one size are alike, so one of each size stands for all, and two for pairs of equal ones: all there is to try, and of
+        different sizes a bin holds few, as they add up to its capacity.
+        """
+        docs: list[tuple[int, int]] = []
+        for item in reversed(self.bins[y]):
+            if len(docs) < 2 or docs[-2][0] != item[0]:
+                docs.append(item)
+        single = [d for k, d in enumerate(docs) if not k or docs[k - 1][0] != d[0]]
+        for a in single:
             yield [a]
-        for k, a in enumerate(docs[:24]):
-            for b in docs[k + 1 : 24]:
-                yield [a, b]
+        tried = set()
+        for k, a in enumerate(docs):
+            for b in docs[k + 1 :]:
+                if a[0] + b[0] not in tried:
+                    tried.add(a[0] + b[0])
+                    yield [a, b]
 
     def _step(self, y: int, others: list[int]) -> bool:
         """One move or exchange out of bin y that raises the squared fills; False if there is none."""
@@ -197,8 +211,20 @@ def _filler(capacity: int, base: int, least_fill: float):
     return fill
 
 
-def pack(sizes: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS, full: float = FULL) -> DataFrame:
-    """(doc_id, piece, bin_id, tokens) for sizes(doc_id, tokens)."""
+def _by_group(fill):
+    """fill for each group among a task's rows: a few groups of bounded size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [b for b in batches if len(b)]
+        if rows:
+            for _, some in pd.concat(rows, ignore_index=True).groupby("place"):
+                yield fill(some.reset_index(drop=True))
+
+    return run
+
+
+def pack(sizes: DataFrame, capacity: int = CAPACITY, group: int = GROUP, full: float = FULL) -> DataFrame:
+    """(doc_id, piece, bin_id, tokens) for sizes(doc_id, tokens). Rounds go on until what is left fits one group, or no round leaves less."""
     whole = F.floor(F.col("tokens") / capacity)
     cutup = sizes.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.ceil(F.col("tokens") / capacity) - 1)))).select(
         "doc_id", "piece", F.when(F.col("piece") < whole, capacity).otherwise(F.col("tokens") - whole * capacity).cast("bigint").alias("tokens")
@@ -211,17 +237,21 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
     )
     placed = [alone]
     left = pieces.where(F.col("tokens") < capacity)
-    for r in range(rounds):
+    before = None
+    for r in itertools.count():
         n = left.count()
         if not n:
             break
         groups = max(1, round(n / group))
-        last = r == rounds - 1 or groups == 1
+        last = groups == 1 or before == n
+        before = n
         # bins of round r lie beyond those of the pieces that stand alone and of earlier rounds
         base = -((r + 1) << 56)
-
+        tasks = min(groups, TASKS)
         spread = left.withColumn("place", F.pmod(F.xxhash64("doc_id", "piece", F.lit(r)), F.lit(groups)))
-        done = cut(spread.groupBy("place").applyInPandas(_filler(capacity, base, full * capacity if not last else 0), schema))
+        # each group goes to the task of its number, so that small groups aren't put together in one
+        numbered = spread.repartitionById(tasks, F.pmod("place", F.lit(tasks)).cast("int"))
+        done = cut(numbered.mapInPandas(_by_group(_filler(capacity, base, full * capacity if not last else 0)), schema))
         placed.append(done.where("bin_id <> 0"))
         if last:
             break

@@ -3,7 +3,7 @@
 Method: pointer doubling. An event that says the same as the one before it points to that
 predecessor; self-joins replace each pointer by its target's pointer until all reach the start of
 their run, so a run of n events takes about log2(n) joins on unique keys, and no run or sequence, however long, is
-gathered in one task. Predecessors come from blocked windows (tallymill.skew.blocked_lag).
+gathered in one task. Predecessors come from ranges of events that are sampled even (tallymill.skew.ranged_lag).
 
 Two events say the same when kind and role agree (null agrees with null) and so do their payloads,
 but for how the JSON is written, members that only identify, time or place the single call, and, in
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tallymill.session import cut
-from tallymill.skew import blocked_lag
+from tallymill.skew import ranged_lag
 
 #: Members that identify, time or place a single call.
 CALL_MEMBERS = frozenset(
@@ -111,7 +111,7 @@ def said_events(df: DataFrame, part: str = "attempt_id", order: str = "seq", ts:
 
 def run_starts(events: DataFrame) -> DataFrame:
     """(part, seq, ptr): for each event that repeats its predecessor, the seq its run starts at."""
-    lagged = blocked_lag(events.select("part", "seq", "sig"), "part", "seq", ["sig"])
+    lagged = ranged_lag(events.select("part", "seq", "sig"), "part", "seq", ["sig"])
     pointers = cut(lagged.where("prev_sig = sig").select("part", "seq", F.col("prev_seq").alias("ptr")))
     while True:
         target = pointers.select("part", F.col("seq").alias("ptr"), F.col("ptr").alias("further"))
