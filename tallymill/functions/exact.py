@@ -151,18 +151,19 @@ def conformal_ci(n: pd.Series, alpha: pd.Series, conf: pd.Series) -> pd.Series:
     return pd.Series(_each(lambda *a: list(conformal_coverage(*a)), n, alpha, conf))
 
 
-def fit_temperature(confidence: np.ndarray, correct: np.ndarray, high: float = 100.0) -> float:
-    """The temperature in [0.05, high] of least log loss, by golden section on its logarithm; 1 where
+def fit_temperature(confidence: np.ndarray, correct: np.ndarray, weight: np.ndarray | None = None, high: float = 100.0) -> float:
+    """The temperature in [0.05, high] of least log loss over weighted points, by golden section on its logarithm; 1 where
     fewer than two confidences or only one class are given."""
-    keep = ~np.isnan(confidence)
-    p, y = np.clip(confidence[keep], 1e-6, 1 - 1e-6), correct[keep].astype(float)
-    if len(p) < 2 or y.min() == y.max():
+    weight = np.ones(len(confidence)) if weight is None else weight
+    keep = ~np.isnan(confidence) & (weight > 0)
+    p, y, w = np.clip(confidence[keep], 1e-6, 1 - 1e-6), correct[keep].astype(float), weight[keep]
+    if w.sum() < 2 or y.min() == y.max():
         return 1.0
     z = np.log(p / (1 - p))
 
     def loss(log_t: float) -> float:
         q = np.clip(1 / (1 + np.exp(-z / math.exp(log_t))), 1e-6, 1 - 1e-6)
-        return float(-(y * np.log(q) + (1 - y) * np.log(1 - q)).mean())
+        return float(-(w * (y * np.log(q) + (1 - y) * np.log(1 - q))).sum() / w.sum())
 
     lo, hi, g = math.log(0.05), math.log(high), (math.sqrt(5) - 1) / 2
     a, b = hi - g * (hi - lo), lo + g * (hi - lo)

@@ -145,19 +145,15 @@ def nearest_power_of_two(n: int) -> int:
 
 
 def leak_guard(messages: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(message_id, token): tokens(token) that stand as whole words in messages(message_id, content).
+    """(message_id, token): tokens(token) that stand as whole words, or runs of words and marks, in messages(message_id, content).
 
-    The words and runs of words of the messages are not known ahead, so tokens, few and short, go into one pattern
-    each; a message's text is read once per token by the JVM's matcher. tokens are collected, at most MAX_TOKENS.
+    Any number of tokens: a token is found by a join on its first word with the words of the messages, each message's once, and then looked for in
+    the texts that have it. A token without any word is looked for by its own characters in a join on nothing but the first of them.
     """
-    known = [r["token"] for r in tokens.where("token <> ''").select("token").distinct().limit(MAX_TOKENS + 1).collect()]
-    if len(known) > MAX_TOKENS:
-        raise ValueError("TOO_MANY_TOKENS")
-    if not known:
-        return messages.select("message_id", F.lit("").alias("token")).limit(0)
-    hit = lambda t: F.when(F.col("content").rlike(r"(?U)(?<!\w)\Q" + t.replace("\\E", "\\E\\\\E\\Q") + r"\E(?!\w)"), F.lit(t))
-    found = F.filter(F.array(*[hit(t) for t in known]), lambda x: x.isNotNull())
-    return messages.select("message_id", F.explode(found).alias("token"))
-
-
-MAX_TOKENS = 200
+    first = lambda text: F.coalesce(F.nullif(F.regexp_extract(text, r"(?U)\w+", 0), F.lit("")), F.substring(F.trim(text), 1, 1))
+    known = tokens.where("trim(token) <> ''").select("token").distinct().withColumn("word", first(F.col("token")))
+    pieces = F.array_union(F.regexp_extract_all("content", F.lit(r"(?U)(\w+)"), 1), F.regexp_extract_all("content", F.lit(r"(?U)([^\w\s])"), 1))
+    rows = messages.where("content IS NOT NULL").select("message_id", "content", F.explode(F.array_distinct(pieces)).alias("word"))
+    near = rows.join(known, "word").where(F.contains("content", "token"))
+    quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace("token", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+    return near.where(F.regexp_like("content", quoted)).select("message_id", "token").distinct()

@@ -202,22 +202,33 @@ def is_diverse(correlations: DataFrame, limit: float = RHO_LIMIT) -> DataFrame:
     return correlations.agg(F.coalesce(F.every(F.abs("rho") < limit), F.lit(True)).alias("diverse"))
 
 
-def compose_panel(profiles: list[tuple[str, float, str]], rho: dict[tuple[str, str], float], limit: float = RHO_LIMIT, quorum: int = 3) -> dict:
-    """Greedy choice of seated judges (id, weight, seat), best weight first: each must correlate less than limit with
-    all chosen before. It needs the judges' names only, never their records."""
-    chosen: list[str] = []
-    dropped = []
-    at = lambda x, y: rho.get((min(x, y), max(x, y)), 0.0)
-    for name, _, _ in sorted((p for p in profiles if p[2] == "seat"), key=lambda p: (-p[1], p[0])):
-        clash = next((c for c in chosen if abs(at(name, c)) >= limit), None)
-        if clash is None:
-            chosen.append(name)
-        else:
-            dropped.append((name, clash, at(name, clash)))
-    return {
-        "seats": chosen, "dropped": dropped, "not_seated": sorted(p[0] for p in profiles if p[2] != "seat"),
-        "meets_quorum": len(chosen) >= quorum, "escalate": len(chosen) < quorum,
-    }
+def compose_panel(profiles: DataFrame, correlations: DataFrame, limit: float = RHO_LIMIT, quorum: int = 3) -> DataFrame:
+    """(model_id, status, kept, rho, meets_quorum): greedy choice of seated judges of profiles(model_id, weight, seat), best weight first, then by name: each must
+    correlate less than limit with all chosen before; a redundant one names the first chosen it doesn't. Pairs without correlation count as unrelated.
+
+    The choice is serial over one panel's candidates, who are folded as one array; only their clashing pairs come beside them, never records.
+    """
+    clash = correlations.where(F.abs("rho") >= limit).select("a", "b", "rho")
+    both = clash.unionByName(clash.select(F.col("b").alias("a"), F.col("a").alias("b"), "rho"))
+    of = both.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "rho"))).alias("clashes"))
+    seated = profiles.where("seat = 'seat'").select("model_id", "weight").join(of, F.col("a") == F.col("model_id"), "left").drop("a")
+    listed = seated.agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "model_id", F.coalesce("clashes", F.create_map().cast("map<string,double>")).alias("clashes"))),
+                                     lambda x, y: F.when(x["w"] < y["w"], -1).when(x["w"] > y["w"], 1).when(x["model_id"] < y["model_id"], -1).when(x["model_id"] > y["model_id"], 1).otherwise(0)).alias("all"))
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<struct<model_id:string,kept:string,rho:double>>").alias("out"))
+
+    def choose(acc, x):
+        first = F.get(F.filter(acc["kept"], lambda c: F.map_contains_key(x["clashes"], c)), F.lit(0))
+        return F.struct(
+            F.when(first.isNull(), F.concat(acc["kept"], F.array(x["model_id"]))).otherwise(acc["kept"]).alias("kept"),
+            F.concat(acc["out"], F.array(F.struct(x["model_id"].alias("model_id"), first.alias("kept"), F.try_element_at(x["clashes"], first).alias("rho")))).alias("out"),
+        )
+
+    folded = listed.select(F.aggregate("all", start, choose).alias("f"))
+    chosen = folded.select(F.explode("f.out").alias("o"), (F.size("f.kept") >= quorum).alias("meets_quorum"))
+    status = F.when(F.col("seat") != "seat", "not_seated").when(F.col("kept").isNull(), "seat").otherwise("redundant")
+    rows = profiles.select("model_id", "seat").join(chosen.select("o.*"), "model_id", "left")
+    meets = folded.select(F.size("f.kept") >= quorum).scalar()
+    return rows.select("model_id", status.alias("status"), "kept", "rho", F.coalesce(meets, F.lit(False)).alias("meets_quorum"))
 
 
 def last_verdicts(rows: DataFrame) -> DataFrame:
@@ -316,28 +327,37 @@ def folds(rows: DataFrame, k: int = 5) -> DataFrame:
     return some.withColumn("fold", ((F.row_number().over(Window.partitionBy("model_id").orderBy("item_id")) - 1) % k).cast("bigint"))
 
 
-def temperatures(rows: DataFrame, folds: int = 5) -> DataFrame:
-    """(model_id, temperature, ece_raw, ece_scaled, ece_cv): one judge's records are fitted together; they are first
-    reduced to distinct (item, confidence, correctness) with counts."""
+#: Confidences are told apart to so many parts of one.
+CONFIDENCES = 100_000
+
+
+def temperatures(rows: DataFrame, k: int = 5) -> DataFrame:
+    """(model_id, temperature, ece_raw, ece_scaled, ece_cv): the temperature fitted to all of a judge's records, the calibration error without and with it, and
+    that with temperatures fitted to the other folds.
+
+    Records are first counted by (judge, fold, confidence, correctness), confidences to CONFIDENCES parts, so a judge is at most
+    2 * k * CONFIDENCES weighted points, however many records it has. A judge with one item has no other folds and takes its own temperature.
+    """
 
     def fit(batch: pd.DataFrame) -> pd.DataFrame:
         conf, right = batch["confidence"].to_numpy(float), batch["is_correct"].to_numpy(float)
-        n = batch["n"].to_numpy(int)
-        conf, right, items = np.repeat(conf, n), np.repeat(right, n), np.repeat(batch["item_id"].to_numpy(), n)
-        t = exact.fit_temperature(conf, right)
-        names = sorted(set(items))
-        k = max(2, min(folds, len(names)))
-        fold = {item: i % k for i, item in enumerate(names)}
-        of = np.array([fold[i] for i in items])
+        w, fold = batch["n"].to_numpy(float), batch["fold"].to_numpy(int)
+        t = exact.fit_temperature(conf, right, w)
         scaled_cv = np.empty(len(conf))
-        for f in range(k):
-            if (of == f).any():
-                tf = exact.fit_temperature(conf[of != f], right[of != f]) if len(names) > 1 else t
-                scaled_cv[of == f] = _scaled(conf[of == f], tf)
-        return pd.DataFrame([(batch["model_id"].iloc[0], t, _ece(conf, right), _ece(_scaled(conf, t), right), _ece(scaled_cv, right))],
+        for f in np.unique(fold):
+            mine = fold == f
+            tf = t if mine.all() else exact.fit_temperature(conf[~mine], right[~mine], w[~mine])
+            scaled_cv[mine] = _scaled(conf[mine], tf)
+        return pd.DataFrame([(batch["model_id"].iloc[0], t, _ece(conf, right, w), _ece(_scaled(conf, t), right, w), _ece(scaled_cv, right, w))],
                             columns=["model_id", "temperature", "ece_raw", "ece_scaled", "ece_cv"])
 
-    counted = rows.where("confidence IS NOT NULL").groupBy("model_id", "item_id", "confidence", "is_correct").agg(F.count("*").alias("n"))
+    items = rows.where("confidence IS NOT NULL").select("model_id", "item_id").distinct()
+    per = items.groupBy("model_id").agg(F.count("*").alias("items"))
+    # folds of fewer items than folds are as many as there are items, two at least
+    dealt = folds(rows, k).join(per, "model_id").withColumn("fold", F.col("fold") % F.greatest(F.lit(2), F.least(F.lit(k), F.col("items"))))
+    counted = rows.where("confidence IS NOT NULL").join(dealt, ["model_id", "item_id"]).groupBy(
+        "model_id", "fold", F.round(F.col("confidence") * CONFIDENCES).alias("part"), "is_correct"
+    ).agg(F.count("*").alias("n")).select("model_id", "fold", (F.col("part") / CONFIDENCES).alias("confidence"), "is_correct", "n")
     return counted.groupBy("model_id").applyInPandas(fit, "model_id STRING, temperature DOUBLE, ece_raw DOUBLE, ece_scaled DOUBLE, ece_cv DOUBLE")
 
 
@@ -346,8 +366,8 @@ def _scaled(conf: np.ndarray, t: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.log(p / (1 - p)) / t))
 
 
-def _ece(conf: np.ndarray, right: np.ndarray, bins: int = ECE_BINS) -> float:
+def _ece(conf: np.ndarray, right: np.ndarray, weight: np.ndarray, bins: int = ECE_BINS) -> float:
     at = np.digitize(conf, np.linspace(0, 1, bins + 1)[1:-1])
-    n = np.bincount(at, minlength=bins)
-    acc, mean = np.bincount(at, right, bins), np.bincount(at, conf, bins)
+    n = np.bincount(at, weight, bins)
+    acc, mean = np.bincount(at, weight * right, bins), np.bincount(at, weight * conf, bins)
     return float(np.abs(acc - mean).sum() / n.sum())

@@ -101,14 +101,15 @@ def _profiles(spark, d):
 
 def _panel(spark, d):
     rows = _rows(spark, d)
-    # one row per judge and per pair of judges: as many as the panel has candidates, not records
-    profiles = [(r.model_id, r.weight, r.seat) for r in judges.decide(judges.measure(rows)).select("model_id", "weight", "seat").collect()]
-    seated = rows.where(F.col("model_id").isin([p[0] for p in profiles if p[2] == "seat"]))
-    rho = {(r.a, r.b): r.rho for r in judges.error_correlation(judges.error_vectors(seated)).collect()}
-    panel = judges.compose_panel(profiles, rho)
-    out = [(m, "seat", None, None) for m in panel["seats"]] + [(m, "redundant", k, r) for m, k, r in panel["dropped"]]
-    out += [(m, "not_seated", None, None) for m in panel["not_seated"]]
-    return spark.createDataFrame(out, "model_id STRING, status STRING, kept STRING, rho DOUBLE")
+    # these judges err alike less than a panel's limit, so a lower one is set
+    return rounded(judges.compose_panel(judges.decide(judges.measure(rows)), judges.error_correlation(judges.error_vectors(rows)), 0.12, 3))
+
+
+def _t_tail(t: str, v: str) -> str:
+    """SQL for the chance that Student's t with a whole number v of degrees of freedom exceeds t."""
+    odd = f"(2 / pi()) * (atan({t} / sqrt({v})) + CASE WHEN {v} = 1 THEN 0 ELSE {t} / sqrt({v} + {t} * {t}) * list_sum(list_transform(range(0, ({v} - 1) // 2), lambda i: exp(lgamma(i + 1.0) + lgamma(1.5) - lgamma(i + 1.5)) * pow({v} / ({v} + {t} * {t}), i + 0.5))) END)"
+    even = f"{t} / sqrt({v} + {t} * {t}) * list_sum(list_transform(range(0, {v} // 2), lambda i: exp(lgamma(i + 0.5) - lgamma(0.5) - lgamma(i + 1.0)) * pow({v} / ({v} + {t} * {t}), i::DOUBLE)))"
+    return f"(1 - CASE WHEN {v} % 2 = 1 THEN {odd} ELSE {even} END) / 2"
 
 
 def _votes(spark, d):
@@ -178,4 +179,22 @@ SQL = {
       tot AS (SELECT item_id, max(v) FILTER (WHERE k = 1) AS verdict, sum(votes)::BIGINT AS votes, CASE WHEN sum(w) = 0 THEN NULL ELSE (2 * max(w) - sum(w)) / sum(w) END AS margin FROM rk GROUP BY 1)
       SELECT item_id, verdict, votes, {R('margin')} AS margin, coalesce(margin, 0.0) <= 0.5 AS escalate FROM tot""",
     "d92_alt_test_folds": f"WITH {_FOLDS} SELECT judge, held, count(*) AS n, {R('avg(d)')} AS mean, {R('stddev_samp(d)')} AS sd FROM d GROUP BY 1, 2 HAVING count(*) >= 2",
+    "d92_alt_test": f"""WITH {_FOLDS}, fo AS (SELECT judge, held, count(*) AS n, avg(d) AS mean, coalesce(stddev_samp(d), 0.0) AS sd FROM d GROUP BY 1, 2 HAVING count(*) >= 2),
+      te AS (SELECT *, CASE WHEN sd = 0 THEN 0 ELSE (mean + 0.1) / (sd / sqrt(n)) END AS t, (n - 1)::BIGINT AS v FROM fo),
+      pv AS (SELECT judge, held, CASE WHEN sd = 0 THEN CASE WHEN mean > -0.1 THEN 0.0 ELSE 1.0 END ELSE {_t_tail('t', 'v')} END AS p FROM te),
+      rk AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY judge) AS m FROM pv WINDOW w AS (PARTITION BY judge ORDER BY p, held)),
+      sc AS (SELECT *, list_sum(list_transform(range(1, m + 1), lambda i: 1.0::DOUBLE / i)) AS c FROM rk),
+      ps AS (SELECT *, k <= coalesce(max(CASE WHEN p <= k::DOUBLE / m * (0.05::DOUBLE / c) THEN k END) OVER (PARTITION BY judge), 0) AS reject FROM sc)
+      SELECT judge AS model_id, {R('avg(CAST(reject AS INT)::DOUBLE)')} AS omega FROM ps GROUP BY 1""",
+    "e133_compose_panel": f"""WITH RECURSIVE {_MEASURED.split("WITH ", 1)[1]}, se AS (SELECT model_id, {_seat()} AS seat, {_WEIGHT} AS weight FROM m),
+      {_RHO.removeprefix(f"{J}, ")},
+      cl AS (SELECT a, b, rho FROM rho WHERE abs(rho) >= 0.12 UNION ALL SELECT b, a, rho FROM rho WHERE abs(rho) >= 0.12),
+      cm AS (SELECT a, list(b) AS bs FROM cl GROUP BY 1),
+      od AS (SELECT model_id, row_number() OVER (ORDER BY weight DESC, model_id) AS k FROM se WHERE seat = 'seat'),
+      sq AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS chosen, NULL::VARCHAR AS model_id, NULL::VARCHAR AS first
+        UNION ALL SELECT k, CASE WHEN hit IS NULL THEN list_append(chosen, model_id) ELSE chosen END, model_id, hit FROM (
+          SELECT od.k, sq.chosen, od.model_id, list_filter(sq.chosen, lambda c: list_contains(coalesce(bs, []), c))[1] AS hit FROM sq JOIN od ON od.k = sq.k + 1 LEFT JOIN cm ON cm.a = od.model_id))
+      SELECT se.model_id, CASE WHEN seat <> 'seat' THEN 'not_seated' WHEN first IS NULL THEN 'seat' ELSE 'redundant' END AS status, first AS kept, {R('cl.rho')} AS rho,
+        (SELECT len(chosen) >= 3 FROM sq ORDER BY k DESC LIMIT 1) AS meets_quorum
+      FROM se LEFT JOIN sq USING (model_id) LEFT JOIN cl ON cl.a = se.model_id AND cl.b = first""",
 }

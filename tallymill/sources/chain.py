@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +16,14 @@ GENESIS = "0" * 64
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, prev_hash, payload, hash) of a log of JSON lines {seq?, prev_hash, payload, hash}. A log that spans files or
-    is split for reading keeps its order only by a seq member; a single file without one is numbered in line order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where("trim(value) <> ''")
+    """(seq, prev_hash, payload, hash) of a log of JSON lines {seq, prev_hash, payload, hash}; a line of another form is an error. Lines are read
+    apart, so a log may be split and spread over files: its order is that of seq."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
     member = lambda name: F.get_json_object("value", f"$.{name}")
-    bad = F.json_object_keys("value").isNull() | (F.size(F.array_except(F.array(F.lit("prev_hash"), F.lit("hash"), F.lit("payload")), F.json_object_keys("value"))) > 0)
-    bad = bad | (F.size(F.array_except(F.json_object_keys("value"), F.array(*[F.lit(x) for x in ("prev_hash", "hash", "payload", "seq")]))) > 0)
-    guarded = F.when(bad, F.raise_error(F.lit("BAD_ENVELOPE"))).otherwise(member("hash"))
-    seq = F.coalesce(member("seq").try_cast("bigint"), F.col("line").cast("bigint"))
+    keys, wanted = F.json_object_keys("value"), F.array(*[F.lit(x) for x in ("hash", "payload", "prev_hash", "seq")])
+    seq = member("seq").try_cast("bigint")
+    sound = keys.isNotNull() & (F.array_sort(keys) == wanted) & seq.isNotNull()
+    guarded = F.when(~F.coalesce(sound, F.lit(False)), F.raise_error(F.lit("BAD_ENVELOPE"))).otherwise(member("hash"))
     return lines.select(seq.alias("seq"), member("prev_hash").alias("prev_hash"), member("payload").alias("payload"), guarded.alias("hash"))
 
 
@@ -42,6 +43,12 @@ def verified(log: DataFrame) -> DataFrame:
     return broken_links(log).agg((F.count("*") == 0).alias("verified"))
 
 
+def tail(log: DataFrame) -> tuple[str, int]:
+    """(hash, next seq) that an append to the log goes on from."""
+    last = log.agg(F.max_by("hash", "seq").alias("hash"), F.max("seq").alias("seq")).first()
+    return (GENESIS, 0) if last["seq"] is None else (last["hash"], last["seq"] + 1)
+
+
 def append(payloads: list[object], previous: str = GENESIS, first_seq: int = 0) -> list[str]:
     """The lines that append payloads to a chain ending in `previous`. A chain is serial by nature."""
     out = []
@@ -51,3 +58,18 @@ def append(payloads: list[object], previous: str = GENESIS, first_seq: int = 0)
         out.append(json.dumps({"seq": first_seq + i, "prev_hash": previous, "payload": payload, "hash": digest}, ensure_ascii=False))
         previous = digest
     return out
+
+
+def append_to(spark: SparkSession, path: str, payloads: list[object]) -> int:
+    """Appends payloads to the log in the folder at path, as one more file, and gives their number. A chain has one writer at a time; what it appends at
+    once is what a batch of events is, not a table."""
+    try:
+        previous, first = tail(read_log(spark, path))
+    except AnalysisException as error:  # no log yet
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        previous, first = GENESIS, 0
+    lines = append(payloads, previous, first)
+    if lines:
+        spark.createDataFrame([(x,) for x in lines], "value STRING").coalesce(1).write.mode("append").text(path)
+    return len(lines)

@@ -120,11 +120,13 @@ def folder_hashes(spark: SparkSession, root: str, names: list[str]) -> DataFrame
 
 
 def evaluation_log(attempts: DataFrame, events: DataFrame) -> DataFrame:
-    """(attempt_id, document): each attempt with its events in order as one JSON document. An attempt's events are gathered in
-    its own row, as the document asks for; use it on attempts, not on streams without end."""
-    gathered = events.groupBy("attempt_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "payload"))).alias("events"))
-    document = F.struct(
+    """(attempt_id, place, document): JSON lines of a log for another harness, a head with place -1 and then an attempt's events by seq, each its own
+    row, so that no attempt, however long, is one. Written sorted by (attempt_id, place), it is the log."""
+    head = F.struct(
         F.struct("model", "puzzle_id").alias("eval"), F.struct("framing_arm").alias("plan"), F.struct("terminated_by", "wall_time", "error").alias("stats"),
-        F.array(F.struct("attempt_id", "output", "scores", "events")).alias("samples"),
+        F.struct("attempt_id", "output", "scores").alias("sample"),
     )
-    return attempts.join(gathered, "attempt_id", "left").select("attempt_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+    as_json = lambda c: F.to_json(c, {"ignoreNullFields": "false"}).alias("document")
+    heads = attempts.select("attempt_id", F.lit(-1).cast("bigint").alias("place"), as_json(head))
+    known = events.where("seq IS NOT NULL").join(attempts.select("attempt_id").distinct(), "attempt_id", "left_semi")
+    return heads.unionByName(known.select("attempt_id", F.col("seq").cast("bigint").alias("place"), as_json(F.struct("seq", "kind", "role", "payload"))))

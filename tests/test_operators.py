@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tallymill.functions import exact
 from tallymill.operators import catalog, items, judges, labels, trace, trials, votes
 from tallymill.skew import blocked_number, ranged_lag
 
@@ -84,9 +85,30 @@ def test_alt_test_against_definition(spark):
     assert judges.alt_test(df).count() == 4 and judges.jury_omega(df).count() == 4
 
 
-def test_panel_choice():
-    panel = judges.compose_panel([("a", 0.9, "seat"), ("b", 0.8, "seat"), ("c", 0.8, "seat"), ("d", 0.5, "screen")], {("a", "b"): -0.4, ("b", "c"): 0.9})
-    assert panel["seats"] == ["a", "c"] and panel["dropped"] == [("b", "a", -0.4)] and panel["not_seated"] == ["d"] and panel["escalate"]
+def test_panel_choice(spark):
+    profiles = spark.createDataFrame([("a", 0.9, "seat"), ("b", 0.8, "seat"), ("c", 0.8, "seat"), ("d", 0.5, "screen")], "model_id STRING, weight DOUBLE, seat STRING")
+    rho = spark.createDataFrame([("a", "b", -0.4), ("b", "c", 0.9), ("a", "c", 0.1)], "a STRING, b STRING, rho DOUBLE")
+    got = {r.model_id: (r.status, r.kept, r.rho, r.meets_quorum) for r in judges.compose_panel(profiles, rho).collect()}
+    assert got == {"a": ("seat", None, None, False), "b": ("redundant", "a", -0.4, False), "c": ("seat", None, None, False), "d": ("not_seated", None, None, False)}
+    assert {r.meets_quorum for r in judges.compose_panel(profiles, rho.limit(0)).collect()} == {True}
+    assert judges.compose_panel(profiles.limit(0), rho).count() == 0
+
+
+def test_temperatures_of_counts_equal_those_of_records(spark):
+    rng = np.random.default_rng(2)
+    rows = [rec(model=f"m{k % 2}", item=f"i{k % 9}", confidence=round(float(c), 2), correct=bool(rng.random() < c ** 2)) for k, c in enumerate(rng.uniform(0.5, 0.99, 300))]
+    got = {r.model_id: r for r in judges.temperatures(judged(spark, rows)).collect()}
+    for m in ("m0", "m1"):
+        mine = [r for r in rows if r[0] == m]
+        conf, right = np.array([r[5] for r in mine]), np.array([float(r[4]) for r in mine])
+        t = exact.fit_temperature(conf, right)
+        assert got[m].temperature == pytest.approx(t, abs=1e-6)
+        names = sorted({r[1] for r in mine})
+        fold = np.array([names.index(r[1]) % 5 for r in mine])
+        cv = np.empty(len(conf))
+        for f in range(5):
+            cv[fold == f] = judges._scaled(conf[fold == f], exact.fit_temperature(conf[fold != f], right[fold != f]))
+        assert got[m].ece_cv == pytest.approx(judges._ece(cv, right, np.ones(len(cv))), abs=1e-6)
 
 
 PUZZLES = "puzzle_id STRING, point_threshold DOUBLE, tool_call_budget INT, time_budget_seconds INT, rewards STRUCT<solve DOUBLE, elegance_bonus_max DOUBLE, novelty_bonus_max DOUBLE, canonical_call_count INT>, penalties ARRAY<STRUCT<name STRING, goodhart_flavor STRING, weight DOUBLE, trigger STRING, description STRING>>"
@@ -231,9 +253,9 @@ def test_known_groups(spark):
 
 
 def test_leak_guard_matches_whole_words(spark):
-    messages = spark.createDataFrame([(1, "rank 7 of 20"), (2, "17 calls"), (3, "player (x.y)"), (4, None)], "message_id INT, content STRING")
-    tokens = spark.createDataFrame([("7",), ("x.y",), ("",)], "token STRING")
-    assert {tuple(r) for r in items.leak_guard(messages, tokens).collect()} == {(1, "7"), (3, "x.y")}
+    messages = spark.createDataFrame([(1, "rank 7 of 20"), (2, "17 calls"), (3, "player (x.y)"), (4, None), (5, "a \\E (?) b $5")], "message_id INT, content STRING")
+    tokens = spark.createDataFrame([("7",), ("x.y",), ("",), ("\\E",), ("(?)",), ("of 20",), ("of 2",), ("all",), (None,)] + [(f"other{k}",) for k in range(300)], "token STRING")
+    assert {tuple(r) for r in items.leak_guard(messages, tokens).collect()} == {(1, "7"), (1, "of 20"), (3, "x.y"), (5, "\\E"), (5, "(?)")}
 
 
 def test_split_covers_all(spark):

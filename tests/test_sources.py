@@ -80,6 +80,13 @@ def test_chain(spark, tmp_path):
     assert not check([lines[0], lines[1].replace("[1, 2]", "[1, 3]"), lines[2]])
     assert not check([lines[0], lines[2]])
     assert check([lines[0].replace('"b": 1', '"b":   1'), *lines[1:]])
+    both = [[lines[1]], [lines[2], "", lines[0]]]
+    for k, some in enumerate(both):
+        put(f"{tmp_path}/parts/{k}.jsonl", "\n".join(some))
+    assert chain.verified(chain.read_log(spark, f"{tmp_path}/parts")).first().verified
+    assert chain.append_to(spark, f"{tmp_path}/new", [{"a": 1}, {"b": 2}]) == 2 and chain.append_to(spark, f"{tmp_path}/new", [{"c": 3}]) == 1 and chain.append_to(spark, f"{tmp_path}/new", []) == 0
+    grown = chain.read_log(spark, f"{tmp_path}/new")
+    assert chain.verified(grown).first().verified and [r.seq for r in grown.orderBy("seq").collect()] == [0, 1, 2]
     put(path, '{"prev_hash": "0", "payload": {}}')
     with pytest.raises(Exception, match="BAD_ENVELOPE"):
         chain.read_log(spark, path).select("hash").collect()
@@ -89,8 +96,11 @@ def test_chain(spark, tmp_path):
 def test_evaluation_log(spark):
     attempts = spark.createDataFrame([("a", "p", "m", "x", None, "done", 1.0, None, {})], "attempt_id STRING, puzzle_id STRING, model STRING, framing_arm STRING, output STRING, terminated_by STRING, wall_time DOUBLE, error STRING, scores MAP<STRING, STRING>")
     events = spark.createDataFrame([("a", 2, "k", None, "{}"), ("a", 1, "k", None, "{}")], "attempt_id STRING, seq BIGINT, kind STRING, role STRING, payload STRING")
-    doc = json.loads(files.evaluation_log(attempts, events).first().document)
-    assert [e["seq"] for e in doc["samples"][0]["events"]] == [1, 2] and doc["stats"]["error"] is None
+    stray = spark.createDataFrame([("b", 1, "k", None, "{}"), ("a", None, "k", None, "{}")], events.schema)
+    rows = files.evaluation_log(attempts, events.unionByName(stray)).orderBy("attempt_id", "place").collect()
+    assert [r.place for r in rows] == [-1, 1, 2]
+    head = json.loads(rows[0].document)
+    assert head["stats"]["error"] is None and head["sample"]["attempt_id"] == "a" and json.loads(rows[2].document)["seq"] == 2
 
 
 def _drain(query):
