@@ -4,7 +4,7 @@ Method: a Rasch-style latent model links documents' levels t with words' difficu
 word of a document at level t is w is exp(a_w + b_w * t - A(t)): a word is likeliest where A'(t) = b_w,
 which is the level it belongs to, and a document's estimated level is the t at which the
 mean b of its words equals A'(t). Documents and words are estimated in turn: levels of all documents
-given the words (one map over the corpus), then the words given all levels (one partial aggregation); graded documents are held at their grade, which fixes the scale. Words are
+given the words (one map over the corpus), then the words given all levels (one partial aggregation), until the words' slopes stand still; graded documents are held at their grade, which fixes the scale. Words are
 hashed to BUCKETS buckets, so the word parameters that are broadcast and collected have a fixed size, whatever
 the vocabulary. At last, cuts between levels are set on the graded documents.
 
@@ -29,7 +29,10 @@ from tallymill.session import cut
 
 MIN_WORDS = 80
 BUCKETS = 1 << 17
-ROUNDS = 2
+#: The search ends when words' slopes move by less than this share of their size on average, each word counted as often as it occurs; ROUNDS only
+#: guards against one that doesn't end.
+TOLERANCE = 0.08
+ROUNDS = 30
 LOW, HIGH = 1, 4
 #: Levels at which A is tabulated, and slopes between which a word's lies.
 GRID = np.linspace(LOW - 0.5, HIGH + 0.5, 41)
@@ -188,7 +191,10 @@ def fit(documents: DataFrame, grades: DataFrame, rounds: int = ROUNDS, min_words
     corpus = cut(word_counts(documents, min_words).join(given, "doc_id", "left"))
     words = solve(*_tally(corpus, None, True))
     for _ in range(rounds):
-        words = solve(*_tally(corpus, words, False))
+        sums = _tally(corpus, words, False)
+        before, words = words, solve(*sums)
+        if np.abs(words.slopes - before.slopes) @ sums[0] <= TOLERANCE * (np.abs(words.slopes) @ sums[0]):
+            break
     thetas = _levels(corpus, words)
     width = (GRID[-1] - GRID[0]) / BINS
     place = F.least(F.lit(BINS - 1), F.floor((F.col("theta") - float(GRID[0])) / width)).cast("int")
