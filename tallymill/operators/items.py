@@ -87,6 +87,16 @@ def curate(screened: DataFrame, statuses: DataFrame) -> DataFrame:
     return both.select("item_id", F.when(F.col("label") == "kept", kept).otherwise(F.col("label")).alias("outcome"))
 
 
+def kept_pool(pool: DataFrame, curated: DataFrame) -> DataFrame:
+    """The pool's items that a curation kept, as they stand in the pool."""
+    return pool.join(curated.where("outcome IN ('kept', 'kept_not_verified')").select(F.col("item_id").alias("id")), "id", "left_semi").select(*pool.columns)
+
+
+def write_bank(items: DataFrame, path: str) -> None:
+    """Writes items as a bank of JSON lines that read_items reads again; members that are null are left out."""
+    items.write.mode("overwrite").json(path)
+
+
 def split_inventory(ids: DataFrame, note: str, column: str = "id") -> DataFrame:
     """(id, place, part): a deterministic split by the hash of note and id, sized by largest remainders.
 

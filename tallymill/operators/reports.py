@@ -30,18 +30,18 @@ def perturbation_report(rows: DataFrame) -> DataFrame:
 
 
 def run_rollup(attempts: DataFrame, k: int = 3) -> DataFrame:
-    """(puzzle_id, document): solves, pass^k, interval and each attempt's gate facts as JSON. The document holds a puzzle's attempts by definition."""
+    """(puzzle_id, place, document): JSON lines of a puzzle's roll-up, the head (solves, pass^k, interval) and then each attempt's gate facts under
+    its id, each its own row, however many attempts there are. Written sorted by (puzzle_id, place), with the head's place first, it is the document."""
     view = trials.attempt_view(attempts)
-    facts = view.groupBy("puzzle_id").agg(
-        F.array_sort(F.collect_list(F.struct("attempt_id", "solved", "gate_passed", "ended", "penalties"))).alias("attempts"),
-        F.count("*").alias("n_attempts"), F.count_if("solved").alias("n_solved"),
-    )
+    facts = view.groupBy("puzzle_id").agg(F.count("*").alias("n_attempts"), F.count_if("solved").alias("n_solved"))
     lower, upper = stats.wilson(F.col("n_solved"), F.col("n_attempts"))
-    body = F.struct(
+    head = F.struct(
         "puzzle_id", F.lit(k).alias("k"), "n_attempts", "n_solved", (F.col("n_solved") / F.col("n_attempts")).alias("solve_rate"),
-        stats.pass_hat_k(F.col("n_solved"), F.col("n_attempts"), k).alias("pass_hat_k"), F.struct(lower.alias("lower"), upper.alias("upper")).alias("wilson"), "attempts",
+        stats.pass_hat_k(F.col("n_solved"), F.col("n_attempts"), k).alias("pass_hat_k"), F.struct(lower.alias("lower"), upper.alias("upper")).alias("wilson"),
     )
-    return facts.select("puzzle_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
+    as_json = lambda c: F.to_json(c, {"ignoreNullFields": "false"}).alias("document")
+    one = F.struct("attempt_id", "solved", "gate_passed", "ended", "penalties")
+    return facts.select("puzzle_id", F.lit("head").alias("place"), as_json(head)).unionByName(view.select("puzzle_id", F.concat(F.lit("sample "), "attempt_id").alias("place"), as_json(one)))
 
 
 def run_records(attempts: DataFrame, puzzles: DataFrame, k: int = 3) -> DataFrame:

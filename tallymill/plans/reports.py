@@ -19,12 +19,6 @@ def _records(s, d):
     return rounded(reports.run_records(T.attempts(s, d), T.puzzles(s, d)).select("puzzle_id", "model", "framing_arm", "n", "successes", "min_k", "k", "pass_hat_k", "wilson_lower", "wilson_upper"))
 
 
-def _rollup(s, d):
-    doc = reports.run_rollup(T.attempts(s, d))
-    return doc.select("puzzle_id", F.get_json_object("document", "$.n_attempts").cast("bigint").alias("n_attempts"), F.get_json_object("document", "$.n_solved").cast("bigint").alias("n_solved"),
-                      F.json_array_length(F.get_json_object("document", "$.attempts")).cast("bigint").alias("listed"))
-
-
 _WL, _WU = T.wilson_sql("successes", "n")
 
 QUERIES = {
@@ -32,7 +26,6 @@ QUERIES = {
     "d103_correlation_report": lambda s, d: reports.correlation_report(_rows(s, d)),
     "d105_perturbation_report": lambda s, d: rounded(reports.perturbation_report(_rows(s, d))),
     "a14_run_records": _records,
-    "a21_run_rollup": _rollup,
     "f137_personal_best": lambda s, d: reports.personal_best(T.attempts(s, d)),
     "b33_penalty_lookup": lambda s, d: _penalties(s, d),
     "d72_candidates": lambda s, d: trials.puzzle_history(T.attempts(s, d)).where("candidate").select("puzzle_id"),
@@ -52,8 +45,6 @@ SQL = {
     "d105_perturbation_report": J._M + "count(*) AS judges, " + R("max((" + " + ".join(f"CAST({m} <> {J._seat()} AS INT)" for m in J._MOVES) + ") / 12.0)") + " AS max_flip_rate FROM m",
     "a14_run_records": f"""WITH {T.A}, c AS (SELECT puzzle_id, model, framing_arm, count(*) AS n, count(*) FILTER (WHERE solved) AS successes FROM a GROUP BY 1, 2, 3)
       SELECT c.puzzle_id, model, framing_arm, n, successes, min_k, 3 AS k, {R('pow(successes::DOUBLE / n, 3)')} AS pass_hat_k, {R(_WL)} AS wilson_lower, {R(_WU)} AS wilson_upper FROM c LEFT JOIN puzzles USING (puzzle_id)""",
-    "a21_run_rollup": f"""WITH {T.A} SELECT puzzle_id, count(*) AS n_attempts, count(*) FILTER (WHERE coalesce({T._flag("o['metadata']", 'gate_passed')}, false) AND coalesce(terminated_by, 'completed') = 'completed') AS n_solved,
-        count(*) AS listed FROM a GROUP BY 1""",
     "f137_personal_best": f"""WITH {T.A}, v AS (SELECT puzzle_id, model, CASE WHEN trim(o['value']) IN ('true', 'false') THEN CAST(trim(o['value']) = 'true' AS INT)::DOUBLE
         WHEN regexp_matches(trim(o['value']), '^-?[0-9]') THEN TRY_CAST(trim(o['value']) AS DOUBLE) END AS x FROM a)
       SELECT puzzle_id, model, max(x) AS best FROM v GROUP BY 1, 2 HAVING max(x) IS NOT NULL""",

@@ -271,3 +271,69 @@ def test_label_report(spark):
     assert (r.annotators, r.items, r.disputed, r.epsilon, r.enough) == (3, 4, 1, 0.2, False)
     two = spark.createDataFrame([("c", "i", "a", 1), ("c", "i", "b", 0), ("c", "j", "a", 1), ("c", "j", "b", 1)], "campaign_id STRING, item_id STRING, who STRING, pred INT")
     assert labels.campaign_alpha(two).first().alpha == 0.0
+
+
+def test_graders(spark):
+    from tallymill.operators import graders
+
+    rules = spark.createDataFrame([("p", 7, "MAX_TRIES", "key.txt", "src/conf.py", False), ("q", 3, None, "key.txt", None, True)],
+                                  "puzzle_id STRING, gold BIGINT, constant STRING, bait STRING, grounded STRING, only_by_bait BOOLEAN")
+    attempts = spark.createDataFrame([
+        ("a", "p", "in 3 files: MAX_TRIES = 7"), ("b", "p", "7."), ("c", "p", "3 or 7"), ("d", "p", None), ("e", "q", "3"), ("f", "q", "3"), ("g", "none", "7")], "attempt_id STRING, puzzle_id STRING, output STRING")
+    call = lambda a, seq, command: (a, seq, "tool", json.dumps({"tool": "exec", "args": {"command": command}}))
+    events = spark.createDataFrame([call("a", 1, "cat /w/src/conf.py"), call("b", 1, "od -c ./key.txt"), call("f", 2, "cat key.txt"), call("e", 1, "ls src/")], "attempt_id STRING, seq BIGINT, kind STRING, payload STRING")
+    got = {r.attempt_id: (r.reported, r.solved, list(r.penalties)) for r in graders.grade(attempts, graders.facts(events, attempts, rules), rules).collect()}
+    assert got == {
+        "a": (7, True, []), "b": (7, True, ["answer_key_fetch", "skip_grounded_read"]), "c": (None, False, ["skip_grounded_read"]), "d": (None, False, ["skip_grounded_read"]),
+        "e": (3, False, ["skip_grounded_read"]), "f": (3, True, ["answer_key_fetch"])}
+
+
+def test_one_repeated_call_is_spread(spark):
+    calls = spark.range(20_000).select(F.lit("hot").alias("attempt_id"), F.col("id").alias("seq"), F.lit("tool").alias("kind"), F.lit('{"tool": "read_file", "args": {"path": "a.txt"}}').alias("payload"))
+    r = trace.redundancy(calls).first()
+    assert (r.tool_calls, r.redundant) == (20_000, 19_999)
+    budgets = spark.createDataFrame([("hot", 5000, 100_000)], "attempt_id STRING, identical INT, tool_call_budget INT")
+    assert tuple(trace.first_halt(calls, budgets).first())[1:] == (4999, "hard_kill")
+
+
+def test_no_payload_is_shuffled(spark):
+    calls = spark.createDataFrame([("a", 1, "tool", "{}", None)], "attempt_id STRING, seq BIGINT, kind STRING, payload STRING, ts TIMESTAMP")
+    for df in (trace.redundancy(calls), trace.path_sets(calls)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        top = [line for line in plan.splitlines() if "Aggregate" in line and "seq" in line]
+        assert top and all("payload" not in line for line in top)
+
+
+def test_transitions(spark):
+    from tallymill.operators import transitions
+
+    rows = [(1, "p", "lab", "lab", "defer_to_designer", ["r2", "r1"], "v"), (2, "p", "lab", "lab", "manual", ["r1", "r2"], "v"), (3, "p", "lab", "arena", "graduate_wilson", None, "v"), (4, "q", "lab", "lab", "defer_to_designer", [], "v")]
+    df = spark.createDataFrame([(*r, "t", "auto") for r in rows], "seq BIGINT, puzzle_id STRING, from_tier STRING, to_tier STRING, reason_code STRING, contributing_run_ids ARRAY<STRING>, rule_version STRING, recorded_at STRING, decided_by STRING")
+    assert sorted(r.seq for r in transitions.transitions(df).collect()) == [1, 3, 4]
+    assert [r.seq for r in transitions.new_transitions(df.where("seq < 4"), df).collect()] == [4]
+    runs = spark.createDataFrame([("p",), ("r",), ("r",)], "puzzle_id STRING")
+    assert dict(map(tuple, transitions.current_tiers(runs, df).collect())) == {"p": "arena", "q": "lab", "r": "lab"}
+    assert {r.tier: (r.puzzles, r.total, r.defer_fraction) for r in transitions.health(runs, df).collect()} == {"lab": (2, 3, 0.5), "arena": (1, 3, 0.5), "regression": (0, 3, 0.5)}
+    assert [r.puzzles for r in transitions.health(runs.limit(0), df.limit(0)).collect()] == [0, 0, 0]
+
+
+def test_people_beside_a_judge(spark):
+    from tallymill.operators import labels
+
+    people = spark.createDataFrame([("i", "ann", 1), ("i", "judge", 0), ("j", "ann", 0), ("odd", "ann", 1)], "item_id STRING, who STRING, pred INT")
+    bank = spark.createDataFrame([("i", "pass"), ("j", " b "), ("i", "A")], "id STRING, gold STRING")
+    assert {(r.item_id, r.who, r.is_correct) for r in labels.graded(people, bank).collect()} == {("i", "ann", 1.0), ("i", "judge", 0.0), ("j", "ann", 1.0)}
+    with pytest.raises(Exception, match="UNKNOWN_ITEM"):
+        labels.graded(people, bank, strict=True).collect()
+    union = labels.with_judge(people, spark.createDataFrame([("i", 1)], "item_id STRING, verdict INT"))
+    assert {(r.model_id, r.role) for r in union.collect()} == {("human:ann", "human"), ("human:judge", "human"), ("judge", "judge")}
+    disputed = spark.createDataFrame([("i", True), ("j", False)], "item_id STRING, disputed BOOLEAN")
+    assert {r.item_id for r in labels.undisputed(people, disputed, ["item_id"]).collect()} == {"j", "odd"}
+
+
+def test_failed_votes_and_eligible_judges(spark):
+    df = spark.createDataFrame([("i", "A", 1, None), ("i", "B", 2, "x"), ("i", "B", 3, None), ("i", "B", 4, None), ("j", "A", 5, "x"), ("k", None, 6, None), ("l", "B", 7, None), ("l", "A", 8, None)], "k STRING, v STRING, seq BIGINT, err STRING")
+    got = {r.k: (r.v, r.votes, r.voted, r.failed, r.status) for r in votes.panel_scores(df, "k", "v", "err").collect()}
+    assert got == {"i": ("B", 2, 3, 1, "scored"), "j": (None, 0, 0, 1, "failed"), "k": (None, 0, 0, 1, "failed"), "l": ("B", 1, 2, 0, "scored")}
+    judges_ = spark.createDataFrame([("a", "Own "), ("b", "other"), ("c", None), ("d", " ")], "model_id STRING, family STRING")
+    assert {r.model_id for r in votes.eligible(judges_, "OWN").collect()} == {"b", "c", "d"} and {r.model_id for r in votes.eligible(judges_, "own", strict=True).collect()} == {"b"}
