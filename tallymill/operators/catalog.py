@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallymill.functions import exact, stats
 from tallymill.operators import dedup
 from tallymill.operators.judges import step_up_by_counts
+from tallymill.session import cut
 
 #: Parts of a model id that mark a frontier model.
 FRONTIER = ("claude", "qwen3-coder", "deepseek", "glm", "kimi", "gpt-oss", "minimax", "nemotron")
@@ -121,7 +122,8 @@ def classified(aggregates: DataFrame, q: float = FDR_Q) -> DataFrame:
     """differences with Fisher's p, and directional findings that don't survive the control of false discoveries
     over all directional ones made inconclusive."""
     p = exact.fisher_p(*[F.col(c).cast("double") for c in ("own_s", "own_n", "cohort_s", "cohort_n")])
-    rows = differences(guarded_aggregates(aggregates)).withColumn("p", p)
+    # written once, a row per puzzle: the step-up looks at it three times
+    rows = cut(differences(guarded_aggregates(aggregates)).withColumn("p", p))
     directional = F.col("typology").isin("gap", "strength")
     out = step_up_by_counts(rows, "p", q, directional).withColumn("survived", F.when(directional, F.col("reject")).otherwise(True)).drop("reject")
     return out.withColumn("typology", F.when(F.col("survived"), F.col("typology")).otherwise("inconclusive"))
