@@ -125,6 +125,12 @@ class Prompt:
         self.asked = asked_language(text) if text else None
 
 
+@functools.lru_cache(maxsize=2048)
+def _prompt(prompt: str | None) -> Prompt:
+    """A prompt that many responses answer is read once."""
+    return Prompt(prompt)
+
+
 N_DENSE = 25
 #: The feature that says that a clause stands in the prompt word for word.
 WHOLE = 3
@@ -133,7 +139,7 @@ WHOLE = 3
 def features(prompt: str | Prompt | None, raw: str) -> Iterator[tuple[str, list[float], list[int]]]:
     """(clause, dense features, hashed words) of each clause of a response."""
     parts = clauses(raw)
-    ask = prompt if isinstance(prompt, Prompt) else Prompt(prompt)
+    ask = prompt if isinstance(prompt, Prompt) else _prompt(prompt)
     names, asked, latin = ask.names, ask.asked, ask.asked in LATIN_LANGUAGES
     is_known, is_two, is_three = ask.known.__contains__, ask.twos.__contains__, ask.threes.__contains__
     broken = unclosed(raw)
@@ -151,7 +157,7 @@ def features(prompt: str | Prompt | None, raw: str) -> Iterator[tuple[str, list[
         rest = max([v for k, v in by.items() if k != asked], default=0.0) if asked else 0.0
         last = i == len(parts) - 1
         ended = _ended(part) or (len(parts) == 1 and n_words <= 2)
-        choice = bool(_CHOICE.search(part))
+        choice = ("a" in words or "b" in words) and bool(_CHOICE.search(part))  # all forms of a choice have the letter as a word
         whole = n_words >= 3 and within
         if n_words >= 3 and not whole and (spoken := _SAID.match(low)):
             bare = " ".join(_TOKEN.findall(low[spoken.end() :]))
@@ -298,18 +304,27 @@ def training_set(rows: list[tuple], seed: int = 11) -> tuple[np.ndarray, np.ndar
 
 
 def train(pairs: DataFrame, n_rows: int = TRAIN_ROWS, steps: int = STEPS) -> Crf:
-    """The field, from at most n_rows rows picked by the hash of their pair_id."""
+    """The field, from at most n_rows rows picked by the hash of their pair_id. The sample is one task's input, and only the weights come to the driver."""
     picked = (
         pairs.where(f"length(raw) <= {TRAIN_CHARS} AND length(prompt) <= {TRAIN_CHARS} AND result IS DISTINCT FROM 'DROPPED'")
         .select("pair_id", "prompt", "raw", "result")
         .orderBy(F.xxhash64("pair_id"), "prompt", "raw")
         .limit(n_rows)
-        .collect()
+        .select("prompt", "raw", "result")
     )
-    X, tags, lengths = training_set([(r.prompt, r.raw, r.result) for r in picked])
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(p, r, None if pd.isna(s) else s) for b in batches for p, r, s in zip(b["prompt"], b["raw"], b["result"])]
+        X, tags, lengths = training_set(rows)
+        if len(X):
+            field = Crf(N_DENSE + HASHED, len(TAGS))
+            field.fit(X, tags, lengths, -(-steps // -(-len(lengths) // BATCH)), batch=BATCH)
+            yield pd.DataFrame({"weights": [field.W.tobytes()], "transitions": [field.T.tobytes()]})
+
     field = Crf(N_DENSE + HASHED, len(TAGS))
-    if len(X):
-        field.fit(X, tags, lengths, -(-steps // -(-len(lengths) // BATCH)), batch=BATCH)
+    for row in picked.coalesce(1).mapInPandas(fit, "weights BINARY, transitions BINARY").collect():
+        field.W = np.frombuffer(row["weights"]).reshape(field.W.shape)
+        field.T = np.frombuffer(row["transitions"]).reshape(field.T.shape)
     return field
 
 

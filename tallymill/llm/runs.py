@@ -109,20 +109,33 @@ def said_events(df: DataFrame, part: str = "attempt_id", order: str = "seq", ts:
     return rows.groupBy("part", "seq").agg(F.min("sig").alias("sig"), F.min("ts").alias("ts"))
 
 
-def run_starts(events: DataFrame) -> DataFrame:
-    """(part, seq, ptr): for each event that repeats its predecessor, the seq its run starts at."""
+#: So many moving pointers, counted, are broadcast at most, some 50 bytes each.
+BROADCAST_POINTERS = 200_000
+
+
+def run_starts(events: DataFrame, broadcast_pointers: int = BROADCAST_POINTERS) -> DataFrame:
+    """(part, seq, ptr): for each event that repeats its predecessor, the seq its run starts at.
+
+    Pointers that have arrived are set aside: a round joins the moving ones only, with all pointers as they stand, and when few are left
+    all others stay where they are written.
+    """
     lagged = ranged_lag(events.select("part", "seq", "sig"), "part", "seq", ["sig"])
-    pointers = cut(lagged.where("prev_sig = sig").select("part", "seq", F.col("prev_seq").alias("ptr")))
-    while True:
-        target = pointers.select("part", F.col("seq").alias("ptr"), F.col("ptr").alias("further"))
-        doubled = cut(
-            pointers.join(target, ["part", "ptr"], "left").select(
-                "part", "seq", F.coalesce("further", "ptr").alias("ptr"), F.col("further").isNotNull().alias("moved")
-            )
-        )
-        pointers = doubled.select("part", "seq", "ptr")
-        if doubled.where("moved").isEmpty():
-            return pointers
+    moving = cut(lagged.where("prev_sig = sig").select("part", "seq", F.col("prev_seq").alias("ptr")))
+    n, arrived = moving.count(), []
+    while n:
+        table = moving
+        for some in arrived:
+            table = table.unionByName(some)
+        target = table.select("part", F.col("seq").alias("ptr"), F.col("ptr").alias("further"))
+        few = n <= broadcast_pointers
+        further = cut((F.broadcast(moving) if few else moving).join(target, ["part", "ptr"]).select("part", "seq", F.col("further").alias("ptr")))
+        keys = further.select("part", "seq")
+        arrived.append(cut(moving.join(F.broadcast(keys) if few else keys, ["part", "seq"], "left_anti")))
+        moving, n = further, further.count()
+    out = moving
+    for some in arrived:
+        out = out.unionByName(some)
+    return out
 
 
 def collapse_runs(df: DataFrame, part: str = "attempt_id", order: str = "seq", ts: str = "ts") -> DataFrame:
