@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import exact, stats
 from tallymill.session import cut
+from tallymill.skew import blocked_number, lookback
 
 ECE_BINS = 10
 #: Ranges of p that are ranked apart.
@@ -231,6 +232,15 @@ def compose_panel(profiles: DataFrame, correlations: DataFrame, limit: float = R
     return rows.select("model_id", status.alias("status"), "kept", "rho", F.coalesce(meets, F.lit(False)).alias("meets_quorum"))
 
 
+def aborts(rows: DataFrame, failed: Column, in_a_row: int = 3) -> DataFrame:
+    """(model_id, seq): where each judge's run would have been given up, the last of the first so many records in a row, in order of seq, that failed.
+    (model_id, seq) must be unique."""
+    numbered = blocked_number(rows.select("model_id", "seq", failed.cast("int").alias("failed")), "model_id", "seq")
+    back = lookback(numbered.fillna(0, ["failed"]), "model_id", "place", "failed", in_a_row - 1)
+    streak = (F.col("failed") == 1) & (F.aggregate("before", F.lit(0), lambda a, x: a + x) == in_a_row - 1)
+    return back.where(streak).groupBy("model_id").agg(F.min("seq").alias("seq"))
+
+
 def last_verdicts(rows: DataFrame) -> DataFrame:
     """(model_id, item_id, verdict): each judge's last record on an item."""
     return rows.groupBy("model_id", "item_id").agg(F.max_by("predicted", "seq").alias("verdict"))

@@ -9,11 +9,11 @@ from __future__ import annotations
 import shlex
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from tallymill.skew import blocked_number
+from tallymill.skew import blocked_number, lookback
 
 #: Commands that read the files they are given.
 READERS = ("grep rg cat bat head tail less more open sed awk nl tac cut od xxd strings").split()
@@ -95,25 +95,14 @@ def paths(tool_calls: DataFrame) -> DataFrame:
     }).withColumn("path", F.get("read", F.lit(0))).drop("tokens")
 
 
-def _near(rows: DataFrame, reach: int, block: int = 4096) -> DataFrame:
-    """rows with near: whether an equal signature stands in the `reach` places before. Places are windowed in blocks, to each of
-    which the last `reach` rows of the block before are lent."""
-    own = F.floor(F.col("place") / block)
-    spread = rows.withColumn("blk", F.explode(F.when((F.col("place") % block >= block - reach), F.array(own, own + 1)).otherwise(F.array(own))))
-    inside = Window.partitionBy("attempt_id", "blk").orderBy("place")
-    near = F.lit(False)
-    for k in range(1, reach + 1):
-        near = near | F.coalesce(F.lag("signature", k).over(inside) == F.col("signature"), F.lit(False))
-    return spread.withColumn("near", near).where(F.col("blk") == own).drop("blk")
-
-
 def redundancy(trace: DataFrame) -> DataFrame:
     """(attempt_id, tool_calls, redundant, tcrr): calls equal to one of the NEAR before them, or beyond the second of one tool on one path.
 
     All numbering is in blocks, so an attempt that does nothing but repeat one call is spread like any other.
     """
     known = once(paths(deliveries_of_calls(trace)), "signature", "tool", "path")
-    rows = _near(blocked_number(known, "attempt_id", "seq"), NEAR)
+    rows = lookback(blocked_number(known, "attempt_id", "seq"), "attempt_id", "place", "signature", NEAR)
+    rows = rows.withColumn("near", F.array_contains("before", F.col("signature"))).drop("before")
     some = rows.where("path IS NOT NULL").withColumn("spot", F.struct("attempt_id", "tool", "path"))
     pathed = blocked_number(some, "spot", "place", "nth").drop("spot")
     flagged = pathed.unionByName(rows.where("path IS NULL").withColumn("nth", F.lit(0).cast("bigint")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +58,8 @@ def judged(attempts: DataFrame) -> DataFrame:
     return attempts.withColumns({"solved": solved(), "novel": novel()})
 
 
-def _rates(rows: DataFrame, k: int) -> DataFrame:
-    lower, upper = stats.wilson(F.col("n_solved"), F.col("n"))
+def _rates(rows: DataFrame, k: int, interval: Callable[[Column, Column], tuple[Column, Column]]) -> DataFrame:
+    lower, upper = interval(F.col("n_solved"), F.col("n"))
     return rows.withColumns({
         "solve_rate": F.coalesce(F.try_divide("n_solved", "n"), F.lit(0.0)),
         "pass_hat_k": stats.pass_hat_k(F.col("n_solved"), F.col("n"), k),
@@ -66,10 +68,10 @@ def _rates(rows: DataFrame, k: int) -> DataFrame:
     })
 
 
-def puzzle_history(attempts: DataFrame, k: int = 3) -> DataFrame:
-    """Per puzzle: attempts, solves, rate, pass^k, Wilson interval, and whether it lies in the band."""
+def puzzle_history(attempts: DataFrame, k: int = 3, interval: Callable[[Column, Column], tuple[Column, Column]] = stats.wilson) -> DataFrame:
+    """Per puzzle: attempts, solves, rate, pass^k, an interval of (solves, attempts), and whether Wilson's lies in the band."""
     counts = judged(attempts).groupBy("puzzle_id").agg(F.count("*").alias("n"), F.count_if("solved").alias("n_solved"))
-    return _rates(counts, k)
+    return _rates(counts, k, interval)
 
 
 def model_profile(attempts: DataFrame) -> DataFrame:

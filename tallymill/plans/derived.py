@@ -460,7 +460,28 @@ def _rollup(s, d):
     return rounded(head.join(listed, "puzzle_id"), 8)
 
 
+def _exact_history(s, d):
+    """A puzzle's history with the exact interval in place of the default one."""
+    def ends(k, n):
+        ci = exact.clopper_pearson_ci(k.cast("double"), n.cast("double"), F.lit(0.95))
+        return ci[0], ci[1]
+
+    return rounded(trials.puzzle_history(T.attempts(s, d), 2, ends).select("puzzle_id", "n", "n_solved", "pass_hat_k", F.col("wilson_lower").alias("lower"), F.col("wilson_upper").alias("upper")), 7)
+
+
+def _aborts(s, d):
+    return judges.aborts(_rows(s, d), F.col("is_correct") == 0)
+
+
+def _inferred_order(s, d):
+    """Tiers in the order their items' pass rates give."""
+    return items.inversions(items.ranked(RD._outcomes(s, d), RD.bank(s, d)))
+
+
 QUERIES = {
+    "f139_inferred_order": _inferred_order,
+    "j7_aborts": _aborts,
+    "l6_exact_history": _exact_history,
     "a18_log_lines": _log_lines,
     "a19_characterization": _characterized,
     "a21_run_rollup": _rollup,
@@ -538,6 +559,14 @@ _HL = "hl AS (SELECT * REPLACE (CASE WHEN coalesce(tier, '') = 'crowd' AND right
 _CURATED = f"""{_TIERS}, {J}, vt AS (SELECT item_id, count(*) AS votes, min(coalesce(predicted, 0)) AS lo, max(coalesce(predicted, 0)) AS hi FROM j GROUP BY 1)"""
 
 SQL = {
+    "f139_inferred_order": f"""WITH {J}, {RD._TICKS.split("inv AS (", 1)[0].rstrip().rstrip(",")}, h AS (SELECT *, CASE tier WHEN 'weak' THEN 0 WHEN 'medium' THEN 1 WHEN 'strong' THEN 2 ELSE CASE WHEN (expected_pass[tier]) THEN 100 WHEN NOT (expected_pass[tier]) THEN -100 END END AS place
+        FROM r JOIN calibration_items ON id = r.item_id)
+      SELECT a.item_id, a.category, a.tier AS weaker, b.tier AS stronger FROM h a JOIN h b ON a.item_id = b.item_id AND a.passed AND NOT b.passed AND a.place < b.place""",
+    "j7_aborts": f"""WITH {J}, k AS (SELECT model_id, seq, ok = 0 AND coalesce(lag(ok) OVER w = 0, false) AND coalesce(lag(ok, 2) OVER w = 0, false) AS third FROM j WINDOW w AS (PARTITION BY model_id ORDER BY seq))
+      SELECT model_id, min(seq) AS seq FROM k WHERE third GROUP BY 1""",
+    "l6_exact_history": f"""WITH RECURSIVE {T.A}, c AS (SELECT puzzle_id, count(*) AS n, count(*) FILTER (WHERE solved) AS n_solved FROM a GROUP BY 1), {_quantiles("SELECT DISTINCT n_solved || '|' || n AS key, n::BIGINT AS n, n_solved::BIGINT AS k1, 0.025 AS q1, n_solved + 1::BIGINT AS k2, 0.975 AS q2 FROM c")}
+      SELECT puzzle_id, c.n, n_solved, round(pow(n_solved::DOUBLE / c.n, 2), 7) AS pass_hat_k, round(CASE WHEN n_solved = 0 THEN 0.0 ELSE x1 END, 7) AS lower, round(CASE WHEN n_solved = c.n THEN 1.0 ELSE x2 END, 7) AS upper
+      FROM c JOIN qu ON key = n_solved || '|' || c.n""",
     "a18_log_lines": f"WITH {T.T} SELECT a.attempt_id, count(t.seq) AS events, sum(t.seq)::BIGINT AS seqs, any_value(a.model) AS model FROM attempts a LEFT JOIN t USING (attempt_id) GROUP BY 1",
     "a19_characterization": f"""WITH {_SCREEN}, pr AS (SELECT a.model_id AS a, b.model_id AS b FROM g a JOIN g b ON a.item_id = b.item_id AND a.model_id < b.model_id JOIN j x ON x.model_id = a.model_id AND x.item_id = a.item_id AND x.predicted IS NOT NULL AND x.gold IS NOT NULL
         JOIN j y ON y.model_id = b.model_id AND y.item_id = b.item_id AND y.predicted IS NOT NULL AND y.gold IS NOT NULL GROUP BY 1, 2)

@@ -118,3 +118,17 @@ def blocked_number(df: DataFrame, part: str, order: str, name: str = "place", bl
     starts = sizes.select(part, "blk", before.alias("blk_start"))
     inside = F.row_number().over(Window.partitionBy(part, "blk").orderBy(order)) - 1
     return blocks.withColumn(name, inside).join(starts, [part, "blk"]).withColumn(name, F.col(name) + F.col("blk_start")).drop("blk", "blk_start")
+
+
+def lookback(rows: DataFrame, part: str, place: str, column: str, reach: int, block: int = 4096) -> DataFrame:
+    """rows with before: the column's values in the `reach` places before, nearest first, without nulls. (part, place) must be unique and place number a
+    part's rows without gaps.
+
+    Places are windowed in blocks, to each of which the last `reach` rows of the block before are lent.
+    """
+    (blk,) = fresh(rows, "blk")
+    own = F.floor(F.col(place) / block)
+    spread = rows.withColumn(blk, F.explode(F.when(F.col(place) % block >= block - reach, F.array(own, own + 1)).otherwise(F.array(own))))
+    inside = Window.partitionBy(part, blk).orderBy(place)
+    before = F.array_compact(F.array(*[F.lag(column, k).over(inside) for k in range(1, reach + 1)]))
+    return spread.withColumn("before", before).where(F.col(blk) == own).drop(blk)

@@ -337,3 +337,10 @@ def test_failed_votes_and_eligible_judges(spark):
     assert got == {"i": ("B", 2, 3, 1, "scored"), "j": (None, 0, 0, 1, "failed"), "k": (None, 0, 0, 1, "failed"), "l": ("B", 1, 2, 0, "scored")}
     judges_ = spark.createDataFrame([("a", "Own "), ("b", "other"), ("c", None), ("d", " ")], "model_id STRING, family STRING")
     assert {r.model_id for r in votes.eligible(judges_, "OWN").collect()} == {"b", "c", "d"} and {r.model_id for r in votes.eligible(judges_, "own", strict=True).collect()} == {"b"}
+
+
+def test_runs_of_failures(spark):
+    rows = [("m", s, c) for s, c in enumerate([0, 0, 1, 0, 0, 0, 0])] + [("n", 1, 0), ("n", 2, None), ("n", 3, 0), ("n", 4, 0)]
+    df = spark.createDataFrame(rows, "model_id STRING, seq BIGINT, is_correct INT")
+    assert {tuple(r) for r in judges.aborts(df, F.col("is_correct") == 0).collect()} == {("m", 5)}
+    assert {r.model_id for r in judges.aborts(df, F.col("is_correct") == 0, 2).collect()} == {"m", "n"}
