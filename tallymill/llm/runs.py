@@ -122,15 +122,18 @@ def run_starts(events: DataFrame, broadcast_pointers: int = BROADCAST_POINTERS)
     lagged = ranged_lag(events.select("part", "seq", "sig"), "part", "seq", ["sig"])
     moving = cut(lagged.where("prev_sig = sig").select("part", "seq", F.col("prev_seq").alias("ptr")))
     n, arrived = moving.count(), []
+    width, first = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, n)
     while n:
         table = moving
         for some in arrived:
             table = table.unionByName(some)
         target = table.select("part", F.col("seq").alias("ptr"), F.col("ptr").alias("further"))
         few = n <= broadcast_pointers
-        further = cut((F.broadcast(moving) if few else moving).join(target, ["part", "ptr"]).select("part", "seq", F.col("further").alias("ptr")))
+        # pointers get fewer, and so do their partitions
+        tasks = -(-width * n // first)
+        further = cut((F.broadcast(moving) if few else moving).join(target, ["part", "ptr"]).select("part", "seq", F.col("further").alias("ptr")).coalesce(tasks))
         keys = further.select("part", "seq")
-        arrived.append(cut(moving.join(F.broadcast(keys) if few else keys, ["part", "seq"], "left_anti")))
+        arrived.append(cut(moving.join(F.broadcast(keys) if few else keys, ["part", "seq"], "left_anti").coalesce(tasks)))
         moving, n = further, further.count()
     out = moving
     for some in arrived:
