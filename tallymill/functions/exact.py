@@ -151,8 +151,12 @@ def conformal_ci(n: pd.Series, alpha: pd.Series, conf: pd.Series) -> pd.Series:
     return pd.Series(_each(lambda *a: list(conformal_coverage(*a)), n, alpha, conf))
 
 
+#: Steps of the grid of log temperatures.
+GRID = 60
+
+
 def fit_temperature(confidence: np.ndarray, correct: np.ndarray, weight: np.ndarray | None = None, high: float = 100.0) -> float:
-    """The temperature in [0.05, high] of least log loss over weighted points, by golden section on its logarithm; 1 where
+    """The temperature in [0.05, high] of least log loss over weighted points, by a grid and golden section on its logarithm; 1 where
     fewer than two confidences or only one class are given."""
     weight = np.ones(len(confidence)) if weight is None else weight
     keep = ~np.isnan(confidence) & (weight > 0)
@@ -165,7 +169,11 @@ def fit_temperature(confidence: np.ndarray, correct: np.ndarray, weight: np.ndar
         q = np.clip(1 / (1 + np.exp(-z / math.exp(log_t))), 1e-6, 1 - 1e-6)
         return float(-(w * (y * np.log(q) + (1 - y) * np.log(1 - q))).sum() / w.sum())
 
-    lo, hi, g = math.log(0.05), math.log(high), (math.sqrt(5) - 1) / 2
+    # clipped, the loss has no single valley for certain: the lowest of GRID steps tells where to look
+    ends, g = (math.log(0.05), math.log(high)), (math.sqrt(5) - 1) / 2
+    grid = [ends[0] + i * (ends[1] - ends[0]) / GRID for i in range(GRID + 1)]
+    best = int(np.argmin([round(loss(x), 12) for x in grid]))
+    lo, hi = grid[max(0, best - 1)], grid[min(GRID, best + 1)]
     a, b = hi - g * (hi - lo), lo + g * (hi - lo)
     fa, fb = loss(a), loss(b)
     while hi - lo > 1e-9:

@@ -15,7 +15,7 @@ from tallymill.operators import catalog, graders, items, judges, labels, reports
 from tallymill.plans import data_quality as DQ
 from tallymill.plans import reading as RD
 from tallymill.plans import trials as T
-from tallymill.plans.judging import _LAST, _MEASURED, _SCREEN, J, R, rounded
+from tallymill.plans.judging import _BIN, _LAST, _MEASURED, _SCREEN, J, R, rounded
 from tallymill.session import ensure_checkpoint_dir, table
 from tallymill.skew import ranged_lag
 from tallymill.sources import chain, files
@@ -558,7 +558,32 @@ _HL = "hl AS (SELECT * REPLACE (CASE WHEN coalesce(tier, '') = 'crowd' AND right
 
 _CURATED = f"""{_TIERS}, {J}, vt AS (SELECT item_id, count(*) AS votes, min(coalesce(predicted, 0)) AS lo, max(coalesce(predicted, 0)) AS hi FROM j GROUP BY 1)"""
 
+_Q = "least(1 - 1e-6, greatest(1e-6, 1 / (1 + exp(-x['z'] / exp({t})))))"
+_LOSS = f"list_sum(list_transform(pts, lambda x: -x['w'] * (x['y'] * ln({_Q}) + (1 - x['y']) * ln(1 - {_Q}))))"
+
+
+def _error(column: str) -> str:
+    """SQL for the calibration error of a column of confidences, per judge, from weighted points."""
+    return f"(SELECT model_id, sum(abs(acc - conf)) / sum(n) AS e FROM (SELECT model_id, {_BIN.replace('confidence', column)} AS bin, sum(n) AS n, sum(n * ok) AS acc, sum(n * {column}) AS conf FROM sc GROUP BY 1, 2) GROUP BY 1)"
+
+
 SQL = {
+    "d106_temperatures": f"""WITH RECURSIVE {J}, it AS (SELECT *, dense_rank() OVER (PARTITION BY model_id ORDER BY item_id) AS r FROM j WHERE confidence IS NOT NULL),
+      ic AS (SELECT model_id, max(r) AS items FROM it GROUP BY 1),
+      pt AS (SELECT model_id, ((r - 1) % 5) % greatest(2, least(5, items)) AS fold, round(confidence * 100000) / 100000 AS c, ok, count(*)::DOUBLE AS n FROM it JOIN ic USING (model_id) GROUP BY 1, 2, 3, 4),
+      tr AS (SELECT p.model_id, f.fold, list(struct_pack(z := ln(least(1 - 1e-6, greatest(1e-6, c)) / (1 - least(1 - 1e-6, greatest(1e-6, c)))), y := ok, w := n)) AS pts, sum(n) < 2 OR min(ok) = max(ok) AS flat
+        FROM pt p JOIN (SELECT DISTINCT model_id, fold FROM pt UNION SELECT model_id, -1 FROM pt) f ON p.model_id = f.model_id AND p.fold <> f.fold GROUP BY 1, 2),
+      gr AS (SELECT *, list_transform(range(0, 61), lambda k: ln(0.05) + k * (ln(100.0) - ln(0.05)) / 60) AS xs FROM tr),
+      gl AS (SELECT model_id, fold, xs, unnest(range(0, 61)) AS k, unnest(xs) AS u, pts FROM gr),
+      gb AS (SELECT model_id, fold, arg_min(k, (round({_LOSS.format(t='u')} / list_sum(list_transform(pts, lambda x: x['w'])), 12), k)) AS k FROM gl GROUP BY 1, 2),
+      ts AS (SELECT model_id, fold, pts, flat, 0 AS i, xs[greatest(0, k - 1) + 1] AS lo, xs[least(60, k + 1) + 1] AS hi FROM gr JOIN gb USING (model_id, fold)
+        UNION ALL SELECT model_id, fold, pts, flat, i + 1, CASE WHEN {_LOSS.format(t='m1')} <= {_LOSS.format(t='m2')} THEN lo ELSE m1 END, CASE WHEN {_LOSS.format(t='m1')} <= {_LOSS.format(t='m2')} THEN m2 ELSE hi END
+        FROM (SELECT *, lo + (hi - lo) / 3 AS m1, hi - (hi - lo) / 3 AS m2 FROM ts) WHERE i < 60),
+      te AS (SELECT model_id, fold, CASE WHEN flat THEN 1.0 ELSE exp((lo + hi) / 2) END AS t FROM ts WHERE i = 60),
+      sc AS (SELECT p.model_id, p.fold, ok, n, c AS raw, 1 / (1 + exp(-ln(k / (1 - k)) / a.t)) AS scaled, 1 / (1 + exp(-ln(k / (1 - k)) / coalesce(f.t, a.t))) AS cv
+        FROM (SELECT *, least(1 - 1e-6, greatest(1e-6, c)) AS k FROM pt) p JOIN te a ON a.model_id = p.model_id AND a.fold = -1 LEFT JOIN te f ON f.model_id = p.model_id AND f.fold = p.fold)
+      SELECT te.model_id, round(t, 2) AS temperature, round(r.e, 4) AS ece_raw, round(s.e, 4) AS ece_scaled, round(v.e, 4) AS ece_cv
+      FROM te JOIN {_error('raw')} r USING (model_id) JOIN {_error('scaled')} s USING (model_id) JOIN {_error('cv')} v USING (model_id) WHERE fold = -1""",
     "f139_inferred_order": f"""WITH {J}, {RD._TICKS.split("inv AS (", 1)[0].rstrip().rstrip(",")}, h AS (SELECT *, CASE tier WHEN 'weak' THEN 0 WHEN 'medium' THEN 1 WHEN 'strong' THEN 2 ELSE CASE WHEN (expected_pass[tier]) THEN 100 WHEN NOT (expected_pass[tier]) THEN -100 END END AS place
         FROM r JOIN calibration_items ON id = r.item_id)
       SELECT a.item_id, a.category, a.tier AS weaker, b.tier AS stronger FROM h a JOIN h b ON a.item_id = b.item_id AND a.passed AND NOT b.passed AND a.place < b.place""",

@@ -143,7 +143,8 @@ QUERIES = {
     "d91_jury_omega": lambda s, d: rounded(judges.jury_omega(judges.last_verdicts(_rows(s, d)))),
     "d92_alt_test_folds": lambda s, d: rounded(judges.alt_test_folds(judges.last_verdicts(_rows(s, d)))),
     "d92_alt_test": lambda s, d: rounded(judges.alt_test(judges.last_verdicts(_rows(s, d)))),
-    "d106_temperatures": lambda s, d: rounded(judges.temperatures(_rows(s, d)), 4),
+    # the loss is flat around high temperatures: two digits are what a search of it can tell
+    "d106_temperatures": lambda s, d: rounded(judges.temperatures(_rows(s, d)).withColumn("temperature", F.round("temperature", 2)), 4),
     "e133_compose_panel": _panel,
     "d117_weighted_vote": _votes,
 }
