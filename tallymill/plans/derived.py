@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallymill.functions import exact, guards, ids, stats, text
 from tallymill.operators import catalog, graders, items, judges, labels, reports, trace, transitions, trials, votes
 from tallymill.plans import data_quality as DQ
+from tallymill.plans import judging as JD
 from tallymill.plans import reading as RD
 from tallymill.plans import trials as T
 from tallymill.plans.judging import _BIN, _LAST, _MEASURED, _SCREEN, J, R, rounded
@@ -478,7 +479,41 @@ def _inferred_order(s, d):
     return items.inversions(items.ranked(RD._outcomes(s, d), RD.bank(s, d)))
 
 
+def _bank_read(s, d):
+    """The bank written as a bank of files and read again."""
+    out = f"{ensure_checkpoint_dir(s)}/bank-{uuid.uuid4().hex}"
+    items.write_bank(RD.bank(s, d), out)
+    got = files.read_items(s, f"{out}/*.json")
+    return got.select("id", "category", "gold", F.md5("prompt").alias("prompt"), F.round("difficulty", 9).alias("difficulty"), F.coalesce(F.size("expected_pass"), F.lit(0)).alias("tiers"), F.get_json_object("metadata", "$.rev").alias("rev"))
+
+
+def _panel_read(s, d):
+    """The panel composed of the judges, written as its document and read again."""
+    rows = JD._panel(s, d)
+    some = lambda c, kind: F.coalesce(F.array_sort(F.collect_list(c)), F.array().cast(kind))
+    seats = F.when(F.col("status") == "seat", F.struct(F.col("model_id"), F.lit(1.0).alias("reliability_weight"), F.lit(None).cast("string").alias("family"), F.lit(False).alias("review_flag")))
+    lost = F.when(F.col("status") == "redundant", F.struct(F.col("model_id").alias("dropped"), "kept", "rho"))
+    document = rows.agg(
+        F.lit(1).alias("schema_version"), some(seats, "array<struct<model_id:string,reliability_weight:double,family:string,review_flag:boolean>>").alias("seats"), F.bool_and("meets_quorum").alias("meets_quorum"),
+        some(F.when(F.col("status") == "not_seated", F.col("model_id")), "array<string>").alias("not_seated"), some(lost, "array<struct<dropped:string,kept:string,rho:double>>").alias("dropped_redundant"),
+    )
+    out = f"{ensure_checkpoint_dir(s)}/panel-{uuid.uuid4().hex}"
+    files.write_panel(document, out)
+    got = files.read_panel(s, out)
+    return got.select(F.array_join("seats.model_id", "|").alias("seats"), F.array_join("not_seated", "|").alias("not_seated"), F.array_join("dropped_redundant.dropped", "|").alias("dropped"), "meets_quorum", "schema_version")
+
+
+def _record_read(s, d):
+    """Puzzles' aspects as the flat lines of a record, quoted, and read again."""
+    out = f"{ensure_checkpoint_dir(s)}/record-{uuid.uuid4().hex}"
+    T.puzzles(s, d).select(F.concat(F.col("puzzle_id"), F.lit(': "'), F.coalesce("capability_aspect", F.lit("")), F.lit('"')).alias("value")).write.text(out)
+    return files.read_frozen_system(s, out)
+
+
 QUERIES = {
+    "a3_bank_read": _bank_read,
+    "a7_panel_read": _panel_read,
+    "a23_record_read": _record_read,
     "f139_inferred_order": _inferred_order,
     "j7_aborts": _aborts,
     "l6_exact_history": _exact_history,
@@ -568,6 +603,10 @@ def _error(column: str) -> str:
 
 
 SQL = {
+    "a3_bank_read": "SELECT id, category, gold, md5(prompt) AS prompt, round(difficulty, 9) AS difficulty, coalesce(cardinality(expected_pass), 0)::INT AS tiers, json_extract_string(metadata, '$.rev') AS rev FROM calibration_items",
+    "a7_panel_read": f"""WITH panel AS ({JD.SQL["e133_compose_panel"]}) SELECT coalesce(string_agg(model_id, '|' ORDER BY model_id) FILTER (WHERE status = 'seat'), '') AS seats, coalesce(string_agg(model_id, '|' ORDER BY model_id) FILTER (WHERE status = 'not_seated'), '') AS not_seated,
+        coalesce(string_agg(model_id, '|' ORDER BY model_id) FILTER (WHERE status = 'redundant'), '') AS dropped, bool_and(meets_quorum) AS meets_quorum, 1 AS schema_version FROM panel""",
+    "a23_record_read": "SELECT puzzle_id AS key, coalesce(capability_aspect, '') AS value FROM puzzles",
     "d106_temperatures": f"""WITH RECURSIVE {J}, it AS (SELECT *, dense_rank() OVER (PARTITION BY model_id ORDER BY item_id) AS r FROM j WHERE confidence IS NOT NULL),
       ic AS (SELECT model_id, max(r) AS items FROM it GROUP BY 1),
       pt AS (SELECT model_id, ((r - 1) % 5) % greatest(2, least(5, items)) AS fold, round(confidence * 100000) / 100000 AS c, ok, count(*)::DOUBLE AS n FROM it JOIN ic USING (model_id) GROUP BY 1, 2, 3, 4),

@@ -55,11 +55,13 @@ def read_puzzles(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_items(spark: SparkSession, *paths: str) -> DataFrame:
-    """Item banks: each file one object or an array of them; unknown members, missing ids and unknown categories are errors."""
+    """Item banks: each file one object, an array of them, or one a line; unknown members, missing ids and unknown categories are errors."""
     raw = spark.read.text(list(paths), wholetext=True).select(
         fails(F.col("_metadata.file_size") > ITEM_BYTES, "BANK_TOO_LARGE", F.trim("value")).alias("value")
     )
-    whole = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
+    # within a document, objects that follow each other have a comma between them
+    apart = F.regexp_replace("value", r"\}\s*\n\s*\{", "},{")
+    whole = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), apart, F.lit("]")))
     one = raw.select(F.explode(F.from_json(whole, "ARRAY<STRING>", {"mode": "FAILFAST"})).alias("one"))
     known = F.array(*[F.lit(c.strip().split(" ")[0]) for c in ITEM.replace(", BOOLEAN", "").split(",")])
     unknown = F.size(F.array_except(F.json_object_keys("one"), known)) > 0

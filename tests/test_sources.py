@@ -39,6 +39,12 @@ def test_items(spark, tmp_path):
     put(f"{tmp_path}/two.json", json.dumps([{**item, "id": "b"}, {**item, "id": "c"}], indent=2))
     got = files.read_items(spark, str(tmp_path))
     assert sorted(r.id for r in got.collect()) == ["a", "b", "c"] and got.first().expected_pass == {"weak": True}
+    from tallymill.operators import items
+
+    bank = got.unionByName(got.withColumns({"id": F.concat("id", F.lit("2")), "difficulty": F.lit(0.5)}))
+    items.write_bank(bank.coalesce(1), f"{tmp_path}/written")
+    again = files.read_items(spark, f"{tmp_path}/written/*.json")
+    assert sorted(again.collect(), key=str) == sorted(bank.collect(), key=str)
     for bad, code in (({**item, "extra": 1}, "UNKNOWN_MEMBER"), ({**item, "gold": None}, "MISSING_MEMBER"), ({**item, "category": "x"}, "BAD_CATEGORY")):
         put(f"{tmp_path}/bad/x.json", json.dumps(bad))
         with pytest.raises(Exception, match=code):
