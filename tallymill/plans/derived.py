@@ -504,9 +504,9 @@ def _panel_read(s, d):
 
 
 def _record_read(s, d):
-    """Puzzles' aspects as the flat lines of a record, quoted, and read again."""
+    """Puzzles' aspects written as the flat lines of a record and read again."""
     out = f"{ensure_checkpoint_dir(s)}/record-{uuid.uuid4().hex}"
-    T.puzzles(s, d).select(F.concat(F.col("puzzle_id"), F.lit(': "'), F.coalesce("capability_aspect", F.lit("")), F.lit('"')).alias("value")).write.text(out)
+    files.write_frozen_system(T.puzzles(s, d).select(F.col("puzzle_id").alias("key"), F.col("capability_aspect").alias("value")), out)
     return files.read_frozen_system(s, out)
 
 
@@ -602,7 +602,18 @@ def _error(column: str) -> str:
     return f"(SELECT model_id, sum(abs(acc - conf)) / sum(n) AS e FROM (SELECT model_id, {_BIN.replace('confidence', column)} AS bin, sum(n) AS n, sum(n * ok) AS acc, sum(n * {column}) AS conf FROM sc GROUP BY 1, 2) GROUP BY 1)"
 
 
+def _canonical(v: str, depth: int) -> str:
+    """SQL for a JSON value in canonical form, objects and arrays down to a depth."""
+    if not depth:
+        return f"({v})::VARCHAR"
+    member = _canonical(f"json_extract({v}, '$.' || to_json(k{depth})::VARCHAR)", depth - 1)
+    inside = f"list_transform(list_sort(json_keys({v})), lambda k{depth}: to_json(k{depth})::VARCHAR || ':' || {member})"
+    entries = f"list_transform(CAST({v} AS JSON[]), lambda e{depth}: {_canonical(f'e{depth}', depth - 1)})"
+    return f"CASE json_type({v}) WHEN 'OBJECT' THEN '{{' || array_to_string({inside}, ',') || '}}' WHEN 'ARRAY' THEN '[' || array_to_string({entries}, ',') || ']' ELSE ({v})::VARCHAR END"
+
+
 SQL = {
+    "h176_canonical": f"SELECT DISTINCT attempt_id, seq, CASE WHEN json_valid(payload) THEN {_canonical('payload::JSON', 4)} END AS canonical FROM trace_events",
     "a3_bank_read": "SELECT id, category, gold, md5(prompt) AS prompt, round(difficulty, 9) AS difficulty, coalesce(cardinality(expected_pass), 0)::INT AS tiers, json_extract_string(metadata, '$.rev') AS rev FROM calibration_items",
     "a7_panel_read": f"""WITH panel AS ({JD.SQL["e133_compose_panel"]}) SELECT coalesce(string_agg(model_id, '|' ORDER BY model_id) FILTER (WHERE status = 'seat'), '') AS seats, coalesce(string_agg(model_id, '|' ORDER BY model_id) FILTER (WHERE status = 'not_seated'), '') AS not_seated,
         coalesce(string_agg(model_id, '|' ORDER BY model_id) FILTER (WHERE status = 'redundant'), '') AS dropped, bool_and(meets_quorum) AS meets_quorum, 1 AS schema_version FROM panel""",

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill.functions import text
+
 PUZZLE = (
     "puzzle_id STRING, created_at STRING, source_url STRING, capability_aspect STRING, puzzle_class STRING, catalog_tier STRING, "
     "point_threshold DOUBLE, time_budget_seconds INT, tool_call_budget INT, min_k INT, "
@@ -93,6 +95,16 @@ def write_panel(panel: DataFrame, path: str) -> None:
     panel.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_frozen_system(record: DataFrame, path: str, pinned: tuple[str, ...] = ("model", "model_id")) -> None:
+    """Writes the record of a frozen system, rows (key, value), as flat lines that read_frozen_system reads again. A value of a pinned key that names
+    no version is an error, and so is a key with a colon or a white space at its ends, or a value of several lines."""
+    alias = F.col("key").isin(*pinned) & text.is_alias(F.col("value"))
+    odd = F.col("key").rlike(r"^\s|\s$|:|^#|^$") | F.col("value").rlike(r"[\r\n]")
+    quoted = F.concat(F.lit('"'), F.replace(F.replace("value", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    line = fails(alias, "ALIAS_NOT_PINNED", fails(odd, "BAD_LINE", F.concat(F.col("key"), F.lit(": "), F.coalesce(quoted, F.lit('""')))))
+    record.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def read_frozen_system(spark: SparkSession, path: str) -> DataFrame:
     """(key, value): the flat lines of a record of a frozen system; indented lines, lines without colon and repeated keys are errors."""
     lines = spark.read.text(path).where("trim(value) <> '' AND NOT ltrim(value) LIKE '#%'")

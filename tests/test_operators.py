@@ -344,3 +344,14 @@ def test_runs_of_failures(spark):
     df = spark.createDataFrame(rows, "model_id STRING, seq BIGINT, is_correct INT")
     assert {tuple(r) for r in judges.aborts(df, F.col("is_correct") == 0).collect()} == {("m", 5)}
     assert {r.model_id for r in judges.aborts(df, F.col("is_correct") == 0, 2).collect()} == {"m", "n"}
+
+
+@pytest.mark.parametrize("s,n", [(1, 0), (-1, 5), (6, 5)])
+def test_impossible_counts_are_errors(spark, s, n):
+    known = "puzzle_content_hash STRING, started_at STRING, nonce STRING"
+    df = spark.createDataFrame([(1, "run", "x", "p", "m", s, n, "h", "t", "o")], f"seq BIGINT, kind STRING, run_id STRING, puzzle_id STRING, model_id STRING, successes INT, n INT, {known}")
+    with pytest.raises(Exception, match="BAD_COUNTS"):
+        catalog.evidence(df).collect()
+    cells = spark.createDataFrame([("p", s, n, 0, 0)], AGG)
+    with pytest.raises(Exception, match="BAD_COUNTS"):
+        catalog.guarded_aggregates(cells).collect()

@@ -72,6 +72,12 @@ def test_panel_round_trip(spark, tmp_path):
 def test_frozen_system(spark, tmp_path):
     put(f"{tmp_path}/s.yaml", '# record\nmodel: "m-1"\nnote: a: b\n')
     assert {tuple(r) for r in files.read_frozen_system(spark, f"{tmp_path}/s.yaml").collect()} == {("model", "m-1"), ("note", "a: b")}
+    record = spark.createDataFrame([("model", "m-1.2"), ("note", 'a: "b" \\ c'), ("none", None)], "key STRING, value STRING")
+    files.write_frozen_system(record, f"{tmp_path}/w")
+    assert {tuple(r) for r in files.read_frozen_system(spark, f"{tmp_path}/w").collect()} == {("model", "m-1.2"), ("note", 'a: "b" \\ c'), ("none", "")}
+    for key, value, code in (("model", "latest", "ALIAS_NOT_PINNED"), ("a:b", "1", "BAD_LINE"), ("a", "1\n2", "BAD_LINE")):
+        with pytest.raises(Exception, match=code):
+            files.write_frozen_system(spark.createDataFrame([(key, value)], "key STRING, value STRING"), f"{tmp_path}/x")
     for text, code in (("a: 1\na: 2\n", "DUPLICATE_KEY"), ("  a: 1\n", "BAD_LINE"), ("plain\n", "BAD_LINE")):
         put(f"{tmp_path}/bad.yaml", text)
         with pytest.raises(Exception, match=code):
