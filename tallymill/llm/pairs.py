@@ -107,11 +107,18 @@ def _ended(clause: str) -> bool:
 _NO_WORDS = frozenset(NO_WORDS) | frozenset("a json text xml final think thinking choice".split())
 
 
-@functools.lru_cache(maxsize=300_000)
-def _hash(word: str) -> int:
+def _hashed(word: str) -> int:
     return xxhash.xxh32_intdigest(word.encode("utf-8", "replace"))
 
 
+_remembered = functools.lru_cache(maxsize=300_000)(_hashed)
+
+
+def _hash(word: str) -> int:
+    """Words of usual length are hashed once."""
+    return _remembered(word) if len(word) <= 40 else _hashed(word)
+
+
 class Prompt:
     """What a response's clauses are compared with."""
 
@@ -125,10 +132,12 @@ class Prompt:
         self.asked = asked_language(text) if text else None
 
 
-@functools.lru_cache(maxsize=2048)
+_read = functools.lru_cache(maxsize=512)(Prompt)
+
+
 def _prompt(prompt: str | None) -> Prompt:
-    """A prompt that many responses answer is read once."""
-    return Prompt(prompt)
+    """A prompt of usual length, which many responses may answer, is read once."""
+    return _read(prompt) if prompt is None or len(prompt) <= 4000 else Prompt(prompt)
 
 
 N_DENSE = 25

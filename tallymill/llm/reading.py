@@ -9,7 +9,7 @@ hashed to BUCKETS buckets, so the word parameters that are broadcast and collect
 the vocabulary. At last, cuts between levels are set on the graded documents.
 
 Defined results: only running English prose counts (tallymill.llm.prose); a document with fewer than
-MIN_WORDS words of it gives no row, nor do a null id and a null or empty text; grades that are null or of unknown
+MIN_WORDS words of it gives no row, nor do a null id and a null or empty text; grades that are null, outside LOW to HIGH or of unknown
 documents are left out, several grades of a document are averaged; a repeated id gives its lowest level; without any
 grades all documents get the same level.
 """
