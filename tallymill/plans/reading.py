@@ -66,7 +66,7 @@ _REP = f"""{_LAB}, w AS (SELECT campaign_id, who, min(CASE tier WHEN 'expert' TH
   al AS (SELECT campaign_id, CASE WHEN sum(a) * sum(b) = 0 THEN 1.0 ELSE 1 - (sum(a) + sum(b) - 1) * sum(2 * a * b / (a + b - 1)) / (2 * sum(a) * sum(b)) END AS alpha FROM ia WHERE a + b >= 2 GROUP BY 1)"""
 
 QUERIES = {
-    "g142_duplicate_ids": lambda s, d: items.duplicate_ids(bank(s, d).unionByName(bank(s, d).where("difficulty > 0.9"))),
+    "g142_duplicate_ids": lambda s, d: items.duplicate_ids(log(s, d).where("run_id IS NOT NULL").select(F.col("run_id").alias("id"))),
     "c12_expectations": lambda s, d: items.expectations(bank(s, d)),
     "b60_violations": lambda s, d: items.violations(_outcomes(s, d), bank(s, d), ORDER),
     "e131_inversions": lambda s, d: items.inversions(items.ranked(_outcomes(s, d), bank(s, d), ORDER)),
@@ -91,7 +91,7 @@ QUERIES = {
 }
 
 SQL = {
-    "g142_duplicate_ids": "SELECT id, count(*) AS n FROM (SELECT id FROM calibration_items UNION ALL SELECT id FROM calibration_items WHERE difficulty > 0.9) GROUP BY 1 HAVING count(*) > 1",
+    "g142_duplicate_ids": "SELECT run_id AS id, count(*) AS n FROM catalog_runs WHERE run_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "c12_expectations": "SELECT id AS item_id, category, unnest(map_keys(expected_pass)) AS tier, unnest(map_values(expected_pass)) AS expected FROM calibration_items",
     "b60_violations": f"WITH {J}, {_TICKS} SELECT item_id, category, kind, detail, soft FROM viol",
     "e131_inversions": f"WITH {J}, {_TICKS} SELECT item_id, category, split_part(detail, '<', 1) AS weaker, split_part(detail, '<', 2) AS stronger FROM inv",
