@@ -132,9 +132,12 @@ def run_starts(events: DataFrame, broadcast_pointers: int = BROADCAST_POINTERS)
         # pointers get fewer, and so do their partitions
         tasks = -(-width * n // first)
         further = cut((F.broadcast(moving) if few else moving).join(target, ["part", "ptr"]).select("part", "seq", F.col("further").alias("ptr")).coalesce(tasks))
+        left = further.count()
+        if not left:
+            break  # all that still moved have arrived
         keys = further.select("part", "seq")
         arrived.append(cut(moving.join(F.broadcast(keys) if few else keys, ["part", "seq"], "left_anti").coalesce(tasks)))
-        moving, n = further, further.count()
+        moving, n = further, left
     out = moving
     for some in arrived:
         out = out.unionByName(some)

@@ -85,3 +85,11 @@ def test_duration(spark):
     df = spark.sql("SELECT 'a' AS attempt_id, id AS seq, 'k' AS kind, 'r' AS role, '{}' AS payload, IF(id = 1, NULL, TIMESTAMP_SECONDS(id * 10)) AS ts FROM RANGE(3)")
     r = runs.collapse_runs(df).first()
     assert (r.n_events, r.duration_s) == (3, 20.0)
+
+
+def test_both_ways_of_doubling_agree(spark):
+    rows = [(p, s, s // n) for p, n in (("a", 1), ("b", 2), ("c", 37), ("d", 500)) for s in range(500)]
+    events = spark.createDataFrame(rows, "part STRING, seq BIGINT, sig BIGINT")
+    few, many = ({tuple(r) for r in runs.run_starts(events, limit).collect()} for limit in (10**6, 0))
+    assert few == many == {(p, s, s - s % n) for p, n in (("a", 1), ("b", 2), ("c", 37), ("d", 500)) for s in range(500) if s % n}
+    assert runs.run_starts(events.limit(0)).count() == 0
