@@ -384,7 +384,10 @@ def _coverage(s, d):
 def _stream(s, d, name):
     """One of the tables as a stream that ends when all of it is read, and a new folder for what comes out."""
     folder = f"{ensure_checkpoint_dir(s)}/stream-{uuid.uuid4().hex}"
-    return s.readStream.schema(table(s, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d), folder
+    path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    of_parts = path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    # a stream takes one file by a pattern only, and the columns of a folder's partitions only by its name
+    return s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parquet" if of_parts else f"{d}/{name}.parque[t]"), folder
 
 
 def _ingested(s, d):
@@ -395,8 +398,8 @@ def _ingested(s, d):
 
 def _running(s, d):
     stream, out = _stream(s, d, "catalog_runs")
-    rows = streams.running_evidence(stream.where("kind = 'run'"))
-    streams.latest(rows, f"{out}/table", f"{out}/state", availableNow=True).awaitTermination()
+    kept = streams.kept_runs(stream.where("kind = 'run'"))
+    streams.latest(kept, f"{out}/table", f"{out}/state", availableNow=True, fold=streams.evidence).awaitTermination()
     return rounded(s.read.parquet(f"{out}/table").select("puzzle_id", "model_id", "runs", "log_e"), 6)
 
 

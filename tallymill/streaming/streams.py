@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -60,19 +60,43 @@ def ingested(spark: SparkSession, target: str) -> DataFrame:
 def running_evidence(runs: DataFrame, p0: float = 0.90, p1: float = 0.97, late: str | None = None) -> DataFrame:
     """Per puzzle and model, the e-value over the runs so far, for update or complete mode: valid whenever it is read.
 
-    A run delivered again doesn't count again. With `late`, a watermark on ingested_at, identities are forgotten after that time, which bounds the state;
+    A run delivered again doesn't count again; the delivery that is met first stands, which kept_runs decides by seq. With `late`, a watermark on ingested_at, identities are forgotten after that time, which bounds the state;
     without it they are kept.
     """
     names = [f"identity_{i}" for i in range(len(dedup.IDENTITY))]
     keyed = runs.withColumns(dict(zip(names, dedup.identity(runs))))
     once = keyed.withWatermark("ingested_at", late).dropDuplicatesWithinWatermark(names) if late else keyed.dropDuplicates(names)
-    sums = once.groupBy("puzzle_id", "model_id").agg(F.sum(stats.log_e(F.col("successes"), F.col("n"), p0, p1)).alias("log_e"), F.count("*").alias("runs"))
+    return evidence(once, p0, p1)
+
+
+def evidence(once: DataFrame, p0: float = 0.90, p1: float = 0.97) -> DataFrame:
+    """The e-values of runs counted once; column times, where there is one, has how many runs a row stands for."""
+    times = F.col("times") if "times" in once.columns else F.lit(1)
+    sums = once.groupBy("puzzle_id", "model_id").agg(F.sum(times * stats.log_e(F.col("successes"), F.col("n"), p0, p1)).alias("log_e"), F.sum(times).alias("runs"))
     return sums.withColumn("e_value", stats.guarded_exp(F.col("log_e")))
 
 
-def latest(rows: DataFrame, target: str, checkpoint: str, availableNow: bool = False):
-    """Starts a query that keeps the whole result of an aggregation in the table at target, written anew after each batch."""
-    store = lambda batch, _: batch.write.mode("overwrite").parquet(target)
+def kept_runs(runs: DataFrame) -> DataFrame:
+    """(puzzle_id, model_id, successes, n, times) of the runs that catalog.runs keeps, for complete mode: a record's delivery of the lowest seq stands, in
+    whichever batch, file or order it comes, so the values are those of the whole log however it is cut up. State is a digest and one delivery per record.
+
+    Rows whose identity isn't whole are told apart by run_id, those without run_id all count.
+    """
+    values = ["puzzle_id", "model_id", "successes", "n"]
+    whole = F.lit(True)
+    for field in dedup.IDENTITY:
+        whole = whole & F.col(field).isNotNull()
+    single = ~whole & F.col("run_id").isNull()
+    named = F.when(whole, F.to_json(F.array(*dedup.identity(runs)))).when(single, F.to_json(F.struct(*values))).otherwise(F.concat(F.lit("r"), "run_id"))
+    first = F.struct(F.col("seq").isNull().alias("last"), "seq", F.xxhash64(*dedup.IDENTITY, *values).alias("tie"), *values)
+    rows = runs.select(F.unhex(F.md5(named)).alias("digest"), single.alias("single"), first.alias("first"))
+    kept = rows.groupBy("digest").agg(F.min("first").alias("first"), F.count_if("single").alias("singles"))
+    return kept.select(*[f"first.{v}" for v in values], F.greatest("singles", F.lit(1)).alias("times"))
+
+
+def latest(rows: DataFrame, target: str, checkpoint: str, availableNow: bool = False, fold: Callable[[DataFrame], DataFrame] = lambda rows: rows):
+    """Starts a query that keeps the whole result of an aggregation, or what fold makes of it, in the table at target, written anew after each batch."""
+    store = lambda batch, _: fold(batch).write.mode("overwrite").parquet(target)
     return _start(rows.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint), availableNow)
 
 
