@@ -49,3 +49,12 @@ def test_running_evidence_of_redelivered_runs(spark, tmp_path):
     want = streams.evidence(once)
     text = lambda df: sorted((r.puzzle_id, r.model_id, r.runs, round(r.log_e, 9)) for r in df.collect())
     assert text(got) == text(want) and [r[1:3] for r in text(got)] == [("m", 1), ("q", 3), ("r", 1)]
+
+
+def test_ingested(spark, data, folder):
+    assert rows(spark, "j5_ingested", folder) == rows(spark, "j5_ingested", data) != []
+
+
+def test_ingested_of_no_runs(spark, data, tmp_path):
+    table(spark, data, "catalog_runs").limit(0).write.parquet(f"{tmp_path}/catalog_runs.parquet")
+    assert rows(spark, "j5_ingested", tmp_path) == []
