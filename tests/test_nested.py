@@ -96,3 +96,32 @@ def test_schema_tells_an_entry_alone_from_a_map(spark):
 def test_json_quoted_twice(spark):
     body = json.dumps({"data": json.dumps(json.dumps({"labels": {"i": {"x": "A"}}})), "findings": '"just quoted"'})
     assert cases(spark, body) == {(0, "label", "i", "x"), (0, "finding", None, '"just quoted"')}
+
+
+def test_fields_of_wide_entries_are_known(spark):
+    listed = {"candidates": [{"spec": "s", "per_item": [{"id": "a", **{f"f{i}": 0 for i in range(100)}}]}]}
+    alone = {"candidates": {"spec": "t", "per_item": {"f1": 1, "f2": {"x": 1}}}}
+    assert cases(spark, *map(json.dumps, (listed, alone))) == {(0, "per_item", "s", "a")}
+
+
+def test_rare_members_are_known(spark):
+    often = [{f"m{i}": [{"x": 1}] for i in range(5000)}] * 2
+    rare = [{"zz": [{"x": 1}]}, {"zz": {"x": 2}}]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate([*often, *rare])], "report_id BIGINT, body STRING")
+    for how in ({}, {"schema_chars": 0}):
+        got = nested.flatten_reports(df, **how).where("branch = 'zz'").select("report_id", "members").collect()
+        assert sorted(map(tuple, got)) == [(2, '{"x": 1}'), (3, '{"x": 2}')]
+
+
+def test_schema_joined_as_broadcast(spark, data):
+    shapes = [
+        {"run": {"steps": [{"name": "s1", "tools": [{"tool": "t1"}]}, 7]}, "k": {"a-1": 1, "a-2": {"y": 2}}, "": [{"p": 1}], "*": {"p": 1}},
+        {"run": {"steps": {"name": "alone", "tools": {"tool": "t3"}}}, "k": {"y": {"z": 1}}, "w": {"": {"p": 2}, "*": {"q": 1}, "steps": {"u": {"tools": {}}}}},
+        {"run": json.dumps({"steps": json.dumps({"k-1": {"name": "keyed"}, "k_2": {"tools": json.dumps([{"tool": "t4"}])}})})},
+        [{"per_item": {"tools": {"gold": "A"}, "x": 1}}, {"per_item": [[{"id": "b", "gold": "B"}]]}],
+        {"steps": {"b": {"name": {"c": 1}}, "run": {"d": 2}}, "tools": {"e": {"f": 1}, "g": {"tool": 3}}},
+    ]
+    made = spark.createDataFrame([(i % 5, json.dumps(x)) for i, x in enumerate(shapes * 2)] + [(9, "broken"), (10, None)], "report_id BIGINT, body STRING")
+    for df in (made, spark.read.parquet(f"{data}/raw_reports.parquet")):
+        whole, parts = (sorted(map(str, nested.flatten_reports(df, schema_chars=n).collect())) for n in (nested.SCHEMA_CHARS, 0))
+        assert whole == parts != []
