@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -23,6 +23,16 @@ def _start(writer, now: bool):
     return (writer.trigger(availableNow=True) if now else writer).start()
 
 
+def _digest(rows: DataFrame) -> dict[str, Column]:
+    """The digest of a record's identity, null if that isn't whole, and the part it is kept in."""
+    fields = dedup.identity(rows)
+    whole = F.lit(True)
+    for field in fields:
+        whole = whole & field.isNotNull()
+    digest = F.when(whole, F.unhex(F.md5(F.concat_ws("\u0000", *fields))))
+    return {"digest": digest, "part": F.pmod(F.xxhash64(digest), F.lit(KEY_PARTS)).cast("int")}
+
+
 def ingest_once(stream: DataFrame, target: str, checkpoint: str, availableNow: bool = False):
     """Starts a query that appends each record of stream to the table at target once, however often and in whichever batches it
     is delivered; read it with ingested.
@@ -33,21 +43,22 @@ def ingest_once(stream: DataFrame, target: str, checkpoint: str, availableNow: b
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = [c.isNotNull() for c in dedup.identity(batch)]
-        whole = known[0] & known[1] & known[2] & known[3]
-        digest = F.when(whole, F.unhex(F.md5(F.concat_ws("\u0000", *dedup.identity(batch)))))
-        once = cut(dedup.exactly_once(batch).withColumn("digest", digest).withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(KEY_PARTS)).cast("int")))
+        once = dedup.exactly_once(batch).withColumns(_digest(batch))
         try:
             stored = spark.read.schema("digest BINARY, batch BIGINT, part INT").parquet(f"{target}/keys").where(F.col("batch") < number)
-            parts = [r["part"] for r in once.select("part").distinct().collect()]  # KEY_PARTS at most
-            fresh = once.join(stored.where(F.col("part").isin(parts)).select("part", "digest"), ["part", "digest"], "left_anti")
         except AnalysisException as error:  # nothing is stored before the first batch
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            fresh = once
-        fresh = cut(fresh)
-        fresh.drop("digest", "part").write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
-        fresh.where("digest IS NOT NULL").select("digest", "part").write.mode("overwrite").partitionBy("part").parquet(f"{target}/keys/batch={number}")
+            stored = None
+        if stored is not None:
+            once = cut(once)
+            parts = [r["part"] for r in once.select("part").distinct().collect()]  # KEY_PARTS at most
+            once = once.join(stored.where(F.col("part").isin(parts)).select("part", "digest"), ["part", "digest"], "left_anti")
+        once.select(*batch.columns).write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+        # the digests come from the rows as they are stored, so that no other copy of them is kept
+        rows = spark.read.schema(batch.schema).parquet(f"{target}/rows/batch={number}")
+        keys = rows.select(*[c.alias(n) for n, c in _digest(rows).items()]).where("digest IS NOT NULL")
+        keys.write.mode("overwrite").partitionBy("part").parquet(f"{target}/keys/batch={number}")
 
     return _start(stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), availableNow)
 
